@@ -319,7 +319,8 @@ def target_classes(df: DataFrame, main_blocks: Column, min_samples: int = 3000)
     return df.groupBy("label").agg(in_main.alias("n_main")).filter(F.col("n_main") < min_samples)
 
 
-def _schema_of(blocks: DataFrame, ids: Sequence[int]) -> set[str]:
+def block_fields(blocks: DataFrame, ids: Sequence[int]) -> set[str]:
+    """Fields of the given blocks."""
     rows = blocks.filter(F.col("block_id").isin(list(ids))).agg(F.array_distinct(F.flatten(F.collect_set("schema"))))
     return set(rows.first()[0] or [])
 
@@ -328,7 +329,7 @@ def augment_main(
     df: DataFrame, fields: Sequence[str], blocks: DataFrame, main: Sequence[int], min_samples: int = 3000
 ) -> DataFrame:
     """Main rows plus the target classes' rows of every other block, on the main schema, '0' where missing."""
-    schema = [name for name in fields if name in _schema_of(blocks, main)]
+    schema = [name for name in fields if name in block_fields(blocks, main)]
     is_main = F.col("block_id").isin(list(main))
     targets = target_classes(df, is_main, min_samples).select("label", F.lit(True).alias("_target"))
     others = [c(name) for name in df.columns if name not in set(fields)]
@@ -383,7 +384,7 @@ def grow_schema(
     counts: dict[str, list[tuple[int, str]]] = {}
     for row in field_counts(donors, fields, ["label"]).filter(F.col("n") > 0).collect():
         counts.setdefault(row["label"], []).append((-row["n"], row["field"]))
-    schema = _schema_of(blocks, [main])
+    schema = block_fields(blocks, [main])
     for row in rows:
         fresh = [field for _, field in sorted(counts.get(row["label"], [])) if field not in schema]
         schema.update(fresh[: 2 if row["n_main"] == 0 else 1])
@@ -418,7 +419,7 @@ def specialist_set(
         F.count(F.lit(1)).alias("n")
     )
     wanted = spread.filter(F.col("n") == donors.agg(F.count(F.lit(1)).alias("n")).scalar()) if common else spread
-    found = {row["field"] for row in wanted.collect()} - _schema_of(blocks, [chief])
+    found = {row["field"] for row in wanted.collect()} - block_fields(blocks, [chief])
     exclusive = [name for name in fields if name in found]
     others = [c(name) for name in df.columns if name not in set(fields)]
     return rows.select(*others, *[F.coalesce(c(name), F.lit("0")).alias(name) for name in exclusive])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.scalars import hex_to_long, log_scale, norm_hex, octets, port_bin, tsval, unit_noise
 from flowloom.operators.flows import factorize
 from flowloom.scale import c, digest, skew_join, small_rows, small_side, sorted_rank, unit_uniform
+from flowloom.session import durable
 
 OOV = "__OOV__"
 PORT_FIELDS = ("tcp.srcport", "tcp.dstport")
@@ -72,6 +73,8 @@ def encode_packets(
     """Catalog fields of the table encoded by type, `flow_*` columns as float."""
     fields = sorted(name for name in catalog if name in df.columns)
     flow_columns = [name for name in df.columns if name.startswith("flow_")]
+    local = small_rows(vocab)
+    vocab = local if local is not None else durable(vocab)
     known = {row["field"] for row in vocab.select("field").distinct().collect()}
     plain = {name: encode_field(name, catalog[name]) for name in fields}
     looked_up = [name for name in fields if plain[name] is None and name in known]

@@ -180,10 +180,10 @@ def virtual_sink_edges(nodes: DataFrame, group: str, sink: str) -> DataFrame:
 def batched_edges(edges: DataFrame, nodes: DataFrame, group: str, batch: int) -> DataFrame:
     """Edges repeated for each graph of a batch, node ids shifted by graph * node count."""
     sizes = nodes.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    graphs = F.explode(F.sequence(F.lit(0), F.lit(batch - 1)))
+    graphs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch - 1).cast("long")))
     return (
         edges.join(sizes, group)
-        .withColumn("graph", graphs.cast("long"))
+        .withColumn("graph", graphs)
         .select(
             group,
             "graph",

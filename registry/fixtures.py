@@ -117,12 +117,13 @@ def orders_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logit_sql(c: int) -> str:
-    return f"((packet_id * {31 + 7 * c}) % 97) / 10.0"
+    # tenths plus a small step per class, so that means never tie
+    return f"cast(((packet_id * {31 + 7 * c}) % 97) * 10000 + {137 * c} as double) / cast(100000 as double)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`packets` keys with an array of logits and a score column."""
-    logits = ", ".join(f"cast({logit_sql(c)} as double)" for c in range(NUM_CLASSES))
+    logits = ", ".join(f"{logit_sql(c)}" for c in range(NUM_CLASSES))
     return packets(spark, sf_dir).selectExpr(
         "packet_id", "stream_id", "label", "label_id", f"array({logits}) as logits", "value / 10.0 as packet_score"
     )
@@ -160,7 +161,7 @@ CTES = {
     "packets_pure": "select * replace (concat('c', stream_id % 5) as label, stream_id % 5 as label_id) from packets",
     "orders_l": "select o_orderkey as row_id, o_orderpriority as label, o_custkey as flow from orders",
     "scores": "select packet_id, stream_id, label, label_id, ["
-    + ", ".join(f"cast({logit_sql(c)} as double)" for c in range(NUM_CLASSES))
+    + ", ".join(f"{logit_sql(c)}" for c in range(NUM_CLASSES))
     + "] as logits, value / 10.0 as packet_score from packets",
     "importance": IMPORTANCE_BODY.replace("{src}", "events"),
 }

@@ -77,7 +77,8 @@ def format_bytes(size: Column) -> Column:
     amount = size.cast("double")
     text = F.concat(size.cast("bigint").cast("string"), F.lit(" B"))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
-        scaled = F.format_string(f"%.2f {unit}", amount / F.lit(float(1024**power)))
+        # bround: halves go to the even digit, as in Python's formatting
+        scaled = F.format_string(f"%.2f {unit}", F.bround(amount / F.lit(float(1024**power)), 2))
         text = F.when(amount >= float(1024**power), scaled).otherwise(text)
     return text
 

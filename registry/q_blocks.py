@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from flowloom.operators import blocks
 from flowloom.scale import c
 from registry.core import query
-from registry.fixtures import FIELDS, packets, with_views
+from registry.fixtures import FIELDS, packets, table, with_views
 
-MIN_ROWS = 200
-FEW = 300
+# thresholds grow with the table, so that small blocks and rare labels exist at every size
+MIN_ROWS = "(select count(*) // 50 from events)"
+FEW = "(select count(*) * 3 // 100 from events)"
 
 _FP = "concat_ws('|', " + ", ".join(f"case when \"{n}\" is not null then '{n}' end" for n in FIELDS) + ")"
 _BYTES = " + ".join(f'coalesce(length("{n}"), 0)' for n in FIELDS)
@@ -26,11 +27,19 @@ def views(sql: str, **extra: str) -> str:
     return with_views(sql, "packets", **VIEWS, **extra)
 
 
+def min_rows(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "events").count() // 50
+
+
+def few(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "events").count() * 3 // 100
+
+
 def block_rows(spark, sf_dir):
     """(packets with block_id, block table)."""
     df = packets(spark, sf_dir)
-    table = blocks.block_table(df, FIELDS)
-    return blocks.assign_blocks(df, FIELDS, table), table
+    found = blocks.block_table(df, FIELDS)
+    return blocks.assign_blocks(df, FIELDS, found), found
 
 
 @query("fingerprint", with_views(f"select packet_id, {_FP} as fingerprint from packets", "packets"))
@@ -48,8 +57,8 @@ def block_assign(spark, sf_dir):
     views("select block_id, md5(fingerprint) as fingerprint_md5, n_rows, n_bytes, len(schema) as n_fields from b"),
 )
 def block_sizes(spark, sf_dir):
-    table = blocks.block_table(packets(spark, sf_dir), FIELDS)
-    return table.select(
+    found = blocks.block_table(packets(spark, sf_dir), FIELDS)
+    return found.select(
         "block_id", "fingerprint_md5", "n_rows", "n_bytes", F.size("schema").cast("long").alias("n_fields")
     )
 
@@ -190,7 +199,7 @@ def rounded(df, *names):
     ),
 )
 def block_jaccard(spark, sf_dir):
-    core, small = blocks.split_core(blocks.block_table(packets(spark, sf_dir), FIELDS), MIN_ROWS)
+    core, small = blocks.split_core(blocks.block_table(packets(spark, sf_dir), FIELDS), min_rows(spark, sf_dir))
     return rounded(blocks.similar_blocks(small, core, JACCARD), "similarity")
 
 
@@ -203,7 +212,7 @@ def block_jaccard(spark, sf_dir):
     ),
 )
 def tree_similarity(spark, sf_dir):
-    core, small = blocks.split_core(blocks.block_table(packets(spark, sf_dir), FIELDS), MIN_ROWS)
+    core, small = blocks.split_core(blocks.block_table(packets(spark, sf_dir), FIELDS), min_rows(spark, sf_dir))
     return rounded(
         blocks.tree_similarity(small, core, TREE), "similarity", "node_similarity", "edge_similarity"
     )
@@ -211,14 +220,14 @@ def tree_similarity(spark, sf_dir):
 
 @query("merge_plan_jaccard", views(_ROUND_PLAN, **_SPLIT, plan=_PLAN_J))
 def merge_plan_jaccard(spark, sf_dir):
-    table = blocks.block_table(packets(spark, sf_dir), FIELDS)
-    return rounded(blocks.merge_plan_jaccard(table, MIN_ROWS, JACCARD), "similarity")
+    found = blocks.block_table(packets(spark, sf_dir), FIELDS)
+    return rounded(blocks.merge_plan_jaccard(found, min_rows(spark, sf_dir), JACCARD), "similarity")
 
 
 @query("merge_plan_tree", views(_ROUND_PLAN, **_TREES, plan=_PLAN_T))
 def merge_plan_tree(spark, sf_dir):
-    table = blocks.block_table(packets(spark, sf_dir), FIELDS)
-    return rounded(blocks.merge_plan_tree(table, MIN_ROWS, TREE), "similarity")
+    found = blocks.block_table(packets(spark, sf_dir), FIELDS)
+    return rounded(blocks.merge_plan_tree(found, min_rows(spark, sf_dir), TREE), "similarity")
 
 
 @query(
@@ -232,8 +241,8 @@ def merge_plan_tree(spark, sf_dir):
     ),
 )
 def merge_log(spark, sf_dir):
-    table = blocks.block_table(packets(spark, sf_dir), FIELDS)
-    return blocks.merge_log(blocks.merge_plan_tree(table, MIN_ROWS, TREE), with_similarity=True)
+    found = blocks.block_table(packets(spark, sf_dir), FIELDS)
+    return blocks.merge_log(blocks.merge_plan_tree(found, min_rows(spark, sf_dir), TREE), with_similarity=True)
 
 
 @query(
@@ -252,9 +261,9 @@ def merge_log(spark, sf_dir):
     ),
 )
 def apply_merge(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    plan = blocks.merge_plan_jaccard(table, MIN_ROWS, JACCARD)
-    merged = blocks.apply_merge(df, FIELDS, table, plan)
+    df, found = block_rows(spark, sf_dir)
+    plan = blocks.merge_plan_jaccard(found, min_rows(spark, sf_dir), JACCARD)
+    merged = blocks.apply_merge(df, FIELDS, found, plan)
     return merged.select("packet_id", "label", "expert", *[c(n) for n in FIELDS])
 
 
@@ -289,25 +298,25 @@ _TOP = "select block_id from b order by n_bytes desc, block_id limit {0}"
 @query("target_classes", views("select label, n_main from mt", **main_views(_FIRST)))
 def target_classes(spark, sf_dir):
     df, _ = block_rows(spark, sf_dir)
-    return blocks.target_classes(df, F.col("block_id") == 0, FEW)
+    return blocks.target_classes(df, F.col("block_id") == 0, few(spark, sf_dir))
 
 
 @query("augment_main", views(packed_sql("m.schema", _IN_MAIN), **main_views(_FIRST)))
 def augment_main(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return packed(blocks.augment_main(df, FIELDS, table, [0], FEW))
+    df, found = block_rows(spark, sf_dir)
+    return packed(blocks.augment_main(df, FIELDS, found, [0], few(spark, sf_dir)))
 
 
 @query("augment_auto", views(packed_sql("m.schema", _IN_MAIN), **main_views(_TOP.format(1))))
 def augment_auto(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return packed(blocks.augment_auto(df, FIELDS, table, FEW))
+    df, found = block_rows(spark, sf_dir)
+    return packed(blocks.augment_auto(df, FIELDS, found, few(spark, sf_dir)))
 
 
 @query("augment_top_k", views(packed_sql("m.schema", _IN_MAIN), **main_views(_TOP.format(3))))
 def augment_top_k(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return packed(blocks.augment_top_k(df, FIELDS, table, 3, FEW))
+    df, found = block_rows(spark, sf_dir)
+    return packed(blocks.augment_top_k(df, FIELDS, found, 3, few(spark, sf_dir)))
 
 
 _COUNTS = " union all ".join(
@@ -325,8 +334,8 @@ _COUNTS = " union all ".join(
     ),
 )
 def top_n_features(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return blocks.top_n_features(df, FIELDS, 3, blocks.block_fields(table, [0]))
+    df, found = block_rows(spark, sf_dir)
+    return blocks.top_n_features(df, FIELDS, 3, blocks.block_fields(found, [0]))
 
 
 @query(
@@ -349,8 +358,8 @@ def top_n_features(spark, sf_dir):
     ),
 )
 def augment_features(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return packed(blocks.augment_with_features(df, FIELDS, table, 0, FEW))
+    df, found = block_rows(spark, sf_dir)
+    return packed(blocks.augment_with_features(df, FIELDS, found, 0, few(spark, sf_dir)))
 
 
 CLASSES = ["click", "signup"]
@@ -373,11 +382,11 @@ def specialist_sql(condition: str) -> str:
 
 @query("specialist_exclusive", specialist_sql("true"))
 def specialist_exclusive(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return packed(blocks.specialist_set(df, FIELDS, table, 0, CLASSES))
+    df, found = block_rows(spark, sf_dir)
+    return packed(blocks.specialist_set(df, FIELDS, found, 0, CLASSES))
 
 
 @query("specialist_common", specialist_sql("n = (select count(*) from dn)"))
 def specialist_common(spark, sf_dir):
-    df, table = block_rows(spark, sf_dir)
-    return packed(blocks.specialist_set(df, FIELDS, table, 0, CLASSES, common=True))
+    df, found = block_rows(spark, sf_dir)
+    return packed(blocks.specialist_set(df, FIELDS, found, 0, CLASSES, common=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,14 +18,14 @@ def norm_hex(value: Column, missing: str = "0") -> Column:
 
 def hex_to_long(value: Column) -> Column:
     """Base-16 text before the first dot; 0 for null or bad text, capped at 2^63 - 1."""
-    text = F.replace(F.lower(F.substring_index(value.cast("string"), ".", 1)), F.lit("0x"), F.lit(""))
-    digits = F.ltrim(text, F.lit("0"))
-    too_big = (F.length(digits) > 16) | ((F.length(digits) == 16) & (F.substring(digits, 1, 1) >= F.lit("8")))
-    number = F.conv(F.right(digits, F.lit(16)), 16, 10).try_cast("bigint")
+    text = F.replace(F.lower(value.cast("string")), F.lit("0x"), F.lit(""))
+    # significant digits; empty for null, zero or unreadable text
+    digits = F.coalesce(F.regexp_extract(text, r"^0*([0-9a-f]*)(\..*)?$", 1), F.lit(""))
+    number = F.conv(digits, 16, 10).try_cast("bigint")
     return (
-        F.when(~F.coalesce(text.rlike("^[0-9a-f]+$"), F.lit(False)) | (digits == ""), F.lit(0).cast("bigint"))
-        .when(too_big, F.lit(LONG_MAX))
-        .otherwise(number)
+        F.when(digits == "", F.lit(0).cast("bigint"))
+        .when(F.length(digits) > 16, F.lit(LONG_MAX))
+        .otherwise(F.coalesce(number, F.lit(LONG_MAX)))
     )
 
 
@@ -39,11 +39,13 @@ def tsval(value: Column) -> Column:
 def octets(value: Column, kind: str) -> Column:
     """Hex address to its octets; zeros for null, short or malformed text."""
     count = OCTETS[kind]
-    text = F.element_at(F.split(value.cast("string"), "x"), -1)
-    head = F.substring(text, 1, 2 * count)
+    head = F.substring(F.substring_index(value.cast("string"), "x", -1), 1, 2 * count)
     good = F.coalesce(head.rlike(f"^[0-9a-fA-F]{{{2 * count}}}$"), F.lit(False))
-    parts = [F.conv(F.substring(head, 2 * i + 1, 2), 16, 10).cast("int") for i in range(count)]
-    return F.when(good, F.array(*parts)).otherwise(F.array(*[F.lit(0)] * count))
+    # one number for the whole address, then its bytes
+    number = F.conv(F.when(good, head).otherwise(F.lit("0")), 16, 10).cast("bigint")
+    return F.array(
+        *[F.shiftright(number, 8 * (count - 1 - i)).bitwiseAND(F.lit(255)).cast("int") for i in range(count)]
+    )
 
 
 def port_bin(value: Column) -> Column:
@@ -83,16 +85,26 @@ def format_bytes(size: Column) -> Column:
     return text
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` bound to a lambda variable, so that it is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def logsumexp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top.cast("double")))
-    return top.cast("double") + F.log(total)
+    def from_top(top: Column) -> Column:
+        return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)))
+
+    return let(F.array_max(logits).cast("double"), from_top)
 
 
 def softmax(logits: Column) -> Column:
     """Softmax over an array, stable."""
-    norm = logsumexp(logits)
-    return F.transform(logits, lambda x: F.exp(x.cast("double") - norm))
+    return let(logsumexp(logits), lambda norm: F.transform(logits, lambda x: F.exp(x.cast("double") - norm)))
+
+
+def max_probability(logits: Column) -> Column:
+    """The largest softmax value, without building the others."""
+    return F.exp(F.array_max(logits).cast("double") - logsumexp(logits))
 
 
 def argmax(values: Column) -> Column:
@@ -106,8 +118,8 @@ def cross_entropy(logits: Column, target: Column) -> Column:
 
 def focal_loss(logits: Column, target: Column, alpha: Sequence[float] | None = None, gamma: float = 2.0) -> Column:
     """Per-row focal loss; aggregate with avg or sum for the reduced forms."""
-    ce = cross_entropy(logits, target)
-    loss = F.pow(F.lit(1.0) - F.exp(-ce), F.lit(float(gamma))) * ce
+    gain = F.lit(float(gamma))
+    loss = let(cross_entropy(logits, target), lambda ce: F.pow(F.lit(1.0) - F.exp(-ce), gain) * ce)
     if alpha is None:
         return loss
     return F.get(F.array(*[F.lit(float(a)) for a in alpha]), target) * loss

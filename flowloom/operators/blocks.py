@@ -30,19 +30,22 @@ def row_bytes(fields: Sequence[str]) -> Column:
 def block_table(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per distinct fingerprint: block_id in fingerprint order, rows, bytes, schema.
 
-    The window sees one row per presence pattern, never packets.
+    Packets are scanned once, here; the result is materialised (see `small_side`), so that plans and similarities work
+    on this metadata alone. The window sees one row per presence pattern.
     """
     patterns = df.groupBy(fingerprint(fields).alias("fingerprint")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(row_bytes(fields)).alias("n_bytes")
     )
     order = Window.partitionBy(F.lit(0)).orderBy("fingerprint")
-    return patterns.select(
-        (F.row_number().over(order) - 1).cast("long").alias("block_id"),
-        "fingerprint",
-        F.md5("fingerprint").alias("fingerprint_md5"),
-        "n_rows",
-        "n_bytes",
-        F.filter(F.split("fingerprint", r"\|"), lambda x: x != "").alias("schema"),
+    return small_side(
+        patterns.select(
+            (F.row_number().over(order) - 1).cast("long").alias("block_id"),
+            "fingerprint",
+            F.md5("fingerprint").alias("fingerprint_md5"),
+            "n_rows",
+            "n_bytes",
+            F.filter(F.split("fingerprint", r"\|"), lambda x: x != "").alias("schema"),
+        )
     )
 
 

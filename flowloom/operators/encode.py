@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.scalars import hex_to_long, log_scale, norm_hex, octets, port_bin, tsval, unit_noise
 from flowloom.operators.flows import factorize
-from flowloom.scale import c, digest, skew_join, small_rows, small_side, sorted_rank, unit_uniform
+from flowloom.scale import BROADCAST_ROWS, c, digest, skew_join, small_side, sorted_rank, unit_uniform
 from flowloom.session import durable
 
 OOV = "__OOV__"
@@ -35,19 +35,47 @@ def build_vocab(df: DataFrame, fields: Sequence[str], variant: str = "v2") -> Da
     return ids.union(oov.withColumn("id", F.col("id").cast("long")))
 
 
-def encode_categorical(df: DataFrame, field: str, vocab: DataFrame, row_id: str, out: str | None = None) -> DataFrame:
-    """Replace a field by its vocabulary id; null or unknown values get the field's unknown id."""
-    of_field = vocab.filter(F.col("field") == field)
-    lookup = of_field.filter(F.col("value") != OOV).select(F.col("value").alias("_v"), F.col("id").alias("_id"))
-    unknown = of_field.filter(F.col("value") == OOV).agg(F.max("id").alias("id")).scalar()
-    name = out or field
-    local = small_rows(lookup)
-    keyed = df.withColumn("_v", norm_hex(c(field), OOV))
-    if local is not None:
-        joined = keyed.join(local, "_v", "left")
+class VocabLookup:
+    """One field's vocabulary as a join side: broadcast when the whole vocabulary is small, else distributed."""
+
+    def __init__(self, table: DataFrame, unknown: int, is_local: bool):
+        self.table, self.unknown, self.is_local = table, unknown, is_local
+
+    def encode(self, df: DataFrame, field: str, row_id: str, out: str | None = None) -> DataFrame:
+        keyed = df.withColumn("_v", norm_hex(c(field), OOV))
+        if self.is_local:
+            joined = keyed.join(F.broadcast(self.table), "_v", "left")
+        else:
+            joined = skew_join(keyed, self.table, ["_v"], salt_by=c(row_id))
+        return joined.withColumn(out or field, F.coalesce(F.col("_id"), F.lit(self.unknown)).cast("int")).drop(
+            "_v", "_id"
+        )
+
+
+def vocab_lookups(vocab: DataFrame, max_rows: int = BROADCAST_ROWS) -> dict[str, VocabLookup]:
+    """A lookup per field; the vocabulary is computed once, and fetched only up to `max_rows`."""
+    spark = vocab.sparkSession
+    probe = vocab.select("field", "value", "id").limit(max_rows + 1).toArrow()
+    is_local = probe.num_rows <= max_rows
+    kept = spark.createDataFrame(probe, schema="field string, value string, id bigint") if is_local else durable(vocab)
+    if is_local:
+        oov = [row for row in probe.to_pylist() if row["value"] == OOV]
     else:
-        joined = skew_join(keyed, lookup, ["_v"], salt_by=c(row_id))
-    return joined.withColumn(name, F.coalesce(F.col("_id"), unknown, F.lit(0)).cast("int")).drop("_v", "_id")
+        oov = kept.filter(F.col("value") == OOV).collect()  # one row per field
+    lookups = {}
+    for row in oov:
+        wanted = kept.filter((F.col("field") == row["field"]) & (F.col("value") != OOV))
+        table = wanted.select(F.col("value").alias("_v"), F.col("id").alias("_id"))
+        lookups[row["field"]] = VocabLookup(table, row["id"], is_local)
+    return lookups
+
+
+def encode_categorical(df: DataFrame, field: str, vocab: DataFrame, row_id: str, out: str | None = None) -> DataFrame:
+    """Replace a field by its vocabulary id; null or unknown values get the field's unknown id (0 without one)."""
+    lookup = vocab_lookups(vocab.filter(F.col("field") == field)).get(field)
+    if lookup is None:
+        return df.withColumn(out or field, F.lit(0))
+    return lookup.encode(df, field, row_id, out)
 
 
 def encode_field(field: str, kind: str) -> Column | None:
@@ -73,11 +101,9 @@ def encode_packets(
     """Catalog fields of the table encoded by type, `flow_*` columns as float."""
     fields = sorted(name for name in catalog if name in df.columns)
     flow_columns = [name for name in df.columns if name.startswith("flow_")]
-    local = small_rows(vocab)
-    vocab = local if local is not None else durable(vocab)
-    known = {row["field"] for row in vocab.select("field").distinct().collect()}
+    lookups = vocab_lookups(vocab)
     plain = {name: encode_field(name, catalog[name]) for name in fields}
-    looked_up = [name for name in fields if plain[name] is None and name in known]
+    looked_up = [name for name in fields if plain[name] is None and name in lookups]
     encoded = df.select(
         *[c(name) for name in dict.fromkeys([row_id, *keep])],
         *[c(name) for name in looked_up],
@@ -85,7 +111,7 @@ def encode_packets(
         *[F.coalesce(c(name).try_cast("double"), F.lit(0.0)).cast("float").alias(name) for name in flow_columns],
     )
     for name in looked_up:
-        encoded = encode_categorical(encoded, name, vocab, row_id)
+        encoded = lookups[name].encode(encoded, name, row_id)
     return encoded
 
 

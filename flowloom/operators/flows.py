@@ -19,6 +19,7 @@ from flowloom.scale import (
     sorted_rank,
     top_per_group,
 )
+from flowloom.session import durable
 
 FIVE_TUPLE = ("ip.src", "ip.dst", "tcp.srcport", "tcp.dstport", "ip.proto")
 TIME_COLUMNS = ("tcp.options.timestamp", "frame.time_relative", "frame.time_epoch")
@@ -280,16 +281,17 @@ def flow_features(
     `full` holds the packets the statistics come from when `packets` were capped. Modes: `per_split` uses the
     statistics and mixed defaults of each packet's own split; `open_world` those of the train split with mean
     defaults; `closed_world` each split's own length statistics with mean defaults; `source` the whole table, missing 0.
+    Statistics that both the defaults and the join read are checkpointed, so packets are aggregated once.
     """
     source = packets if full is None else full
     if mode == "per_split":
-        stats = flow_stats(source, flow, time_columns, [split])
+        stats = durable(flow_stats(source, flow, time_columns, [split]))
         return attach(packets, stats, default_values(stats, "mixed", [split]), flow, row_id, [split])
     if mode == "open_world":
-        stats = flow_stats(source.filter(c(split) == "train"), flow, time_columns)
+        stats = durable(flow_stats(source.filter(c(split) == "train"), flow, time_columns))
         return attach(packets, stats, default_values(stats, "open_world"), flow, row_id)
     if mode == "closed_world":
-        stats = flow_stats(source, flow, (), [split]).select(split, "flow", *CLOSED_WORLD_FEATURES)
+        stats = durable(flow_stats(source, flow, (), [split]).select(split, "flow", *CLOSED_WORLD_FEATURES))
         return attach(packets, stats, default_values(stats, "mean", [split]), flow, row_id, [split])
     if mode == "source":
         stats = flow_stats(source, flow, time_columns)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.scalars import argmax, softmax
+from flowloom.functions.scalars import argmax, max_probability
 from flowloom.operators.scores import LOGITS, flow_label, flow_mean
 from flowloom.scale import c, skew_join
 
@@ -27,11 +27,11 @@ def confusion_matrix(
     `extra_columns` allows that many more predicted ids than classes (an "unknown" column).
     """
     width = num_classes + extra_columns
-    inside = c(actual).between(0, num_classes - 1) & c(predicted).between(0, width - 1)
+    inside = F.col("actual").between(0, num_classes - 1) & F.col("predicted").between(0, width - 1)
     counted = (
-        df.filter(inside)
-        .groupBy(*keys, c(actual).cast("long").alias("actual"), c(predicted).cast("long").alias("predicted"))
+        df.groupBy(*keys, c(actual).cast("long").alias("actual"), c(predicted).cast("long").alias("predicted"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .filter(inside)
     )
     cells = F.flatten(
         F.transform(
@@ -138,10 +138,11 @@ def flow_eval(
 
 def reject_predictions(df: DataFrame, num_classes: int, threshold: float = 0.9, label: str = "label_id") -> DataFrame:
     """(actual, predicted): the class id `num_classes` stands for a rejected prediction."""
-    scored = df.select(c(label).alias("actual"), softmax(F.col(LOGITS)).alias("p"))
-    best = F.array_max("p")
-    return scored.select(
-        "actual", F.when(best < threshold, F.lit(num_classes)).otherwise(argmax(F.col("p"))).alias("predicted")
+    unsure = max_probability(F.col(LOGITS)) < threshold
+    # softmax keeps the order, so the best class is that of the logits
+    return df.select(
+        c(label).alias("actual"),
+        F.when(unsure, F.lit(num_classes)).otherwise(argmax(F.col(LOGITS))).alias("predicted"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.columns import drop_repeated_headers, valid_flow_rows
 from flowloom.scale import c, digest, hash_cuts, skew_join, small_side, within_cut
+from flowloom.session import durable
 
 SEED = 42
 
@@ -74,7 +75,7 @@ def split_flows(
     A flow is identified by (label, flow). Packets read their own flow's digest, so no packet-to-flow join is needed.
     """
     clean = drop_repeated_headers(df.filter(c(flow).isNotNull()), label)
-    flows = clean.select(c(label), c(flow)).distinct()
+    flows = durable(clean.select(c(label), c(flow)).distinct())
     hashed = digest(seed, c(flow))
     cuts = hash_cuts(flows, [label], hashed, _split_quota(test, validation, 3), ["_test", "_validation"])
     return _with_split(clean, cuts, [label], hashed)
@@ -175,7 +176,9 @@ def split_flows_by_length(
 ) -> DataFrame:
     """`split_flows` stratified by flow length inside each label."""
     clean = drop_repeated_headers(df.filter(c(flow).isNotNull()), label)
-    flows = clean.groupBy(c(label).alias(label), c(flow).alias(flow)).agg(F.count(F.lit(1)).alias("n_packets"))
+    flows = durable(
+        clean.groupBy(c(label).alias(label), c(flow).alias(flow)).agg(F.count(F.lit(1)).alias("n_packets"))
+    )
     binned = flows.join(length_bins(flows, label, bins, test, validation), [label, "n_packets"])
     hashed = digest(seed, c(flow))
     group = [label, "bin"]
@@ -220,7 +223,7 @@ def sample_flows(
     clean = valid_flow_rows(df, label, flow)
     hashed = digest(seed, c(flow))
     if not prefer_long:
-        flows = clean.select(c(label), c(flow)).distinct()
+        flows = durable(clean.select(c(label), c(flow)).distinct())
 
         def quota(sizes: DataFrame) -> DataFrame:
             return sizes.withColumn("_take", _flow_target(F.col("n"), proportion, min_flows))
@@ -228,8 +231,10 @@ def sample_flows(
         cuts = hash_cuts(flows, [label], hashed, quota, ["_take"]).select(label, "_take_upto")
         return clean.join(cuts, label).filter(within_cut(hashed, "_take")).drop("_take_upto")
 
-    flows = clean.groupBy(c(label).alias(label), c(flow).alias(flow)).agg(F.count(F.lit(1)).alias("n_packets"))
-    pooled = long_pool(flows, label, hashed)
+    flows = durable(
+        clean.groupBy(c(label).alias(label), c(flow).alias(flow)).agg(F.count(F.lit(1)).alias("n_packets"))
+    )
+    pooled = durable(long_pool(flows, label, hashed))
     sizes = pooled.groupBy(label).agg(
         F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("_pool") == "long").alias("n_long")
     )

@@ -1,0 +1 @@
+"""End-to-end job plans composed from the operators."""

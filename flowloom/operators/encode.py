@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalars import hex_to_long, log_scale, norm_hex, octets, port_bin, tsval, unit_noise
@@ -184,7 +184,7 @@ def class_weights(
     counts = classes.join(counted, "label_id", "left").select(
         "label_id", F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)).alias("n")
     )
-    total = counts.agg(F.sum("n").cast("double").alias("t")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(0))).cast("double")  # one row per class
     raw = total / (F.lit(float(num_classes)) * F.col("n"))
     if smoothing == "sqrt":
         raw = F.sqrt(raw)
@@ -203,7 +203,7 @@ def class_weights(
 def f1_weights(metrics: DataFrame, beta: float = 2.0) -> DataFrame:
     """(class_id, weight): (1 - f1)^beta divided by its mean over the classes."""
     raw = metrics.select("class_id", F.pow(1 - F.col("f1"), F.lit(float(beta))).alias("_w"))
-    return raw.select("class_id", (F.col("_w") / raw.agg(F.avg("_w").alias("m")).scalar()).alias("weight"))
+    return raw.select("class_id", (F.col("_w") / F.avg("_w").over(Window.partitionBy(F.lit(0)))).alias("weight"))
 
 
 def expert_columns(

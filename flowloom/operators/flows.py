@@ -224,7 +224,8 @@ def default_values(stats: DataFrame, rule: str, keys: Sequence[str] = ()) -> Dat
         return F.coalesce(F.avg(name), F.lit(0.0))
 
     if rule == "zero":
-        return stats.groupBy(*keys).agg(*[F.max(F.lit(0.0)).alias(f"{n}_default") for n in names])
+        rows = stats.select(*keys).distinct() if keys else stats.sparkSession.range(1)
+        return rows.select(*keys, *[F.lit(0.0).alias(f"{n}_default") for n in names])
     if rule == "mean":
         return stats.groupBy(*keys).agg(*[mean_of(n).alias(f"{n}_default") for n in names])
     if rule == "open_world":
@@ -334,14 +335,13 @@ def direction_and_gap(
     if not time_column:
         return result.withColumn("flow_iat_local", F.lit(0.0)).drop("flow", "_t")
     width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
-    times = keyed.groupBy("flow", F.col("_t").alias("t")).agg(F.min(c(row_id)).alias("_first_row"))
-    gaps = gap_chunks(times, ["flow"], width)
-    chunk_ends = gaps.groupBy("flow", "_chunk").agg(F.max("t").alias("_t1"))
+    times = keyed.groupBy("flow", F.col("_t").alias("t")).agg(F.min(c(row_id)).alias("_row"))
+    chunk_end = F.max("t").over(Window.partitionBy("flow", "_chunk"))
+    gaps = gap_chunks(times, ["flow"], width).withColumn("_end", chunk_end)
+    # the first time of a chunk is one row per chunk; it looks back at the end of the chunk before
     line = Window.partitionBy("flow").orderBy("_chunk")
-    before = chunk_ends.select("flow", "_chunk", F.lag("_t1").over(line).alias("_before"))
-    row_gaps = gaps.join(before, ["flow", "_chunk"]).select(
-        F.col("_first_row").alias("_row"), F.coalesce(F.col("gap"), F.col("t") - F.col("_before")).alias("_gap")
-    )
+    across = gaps.filter(F.col("gap").isNull()).withColumn("gap", F.col("t") - F.lag("_end").over(line))
+    row_gaps = gaps.filter(F.col("gap").isNotNull()).unionByName(across).select("_row", F.col("gap").alias("_gap"))
     joined = result.withColumn("_row", c(row_id)).join(row_gaps, "_row", "left")
     return joined.withColumn("flow_iat_local", F.coalesce("_gap", F.lit(0.0))).drop("flow", "_t", "_row", "_gap")
 
@@ -405,15 +405,21 @@ def flow_batches(
 
 def sampling_summary(df: DataFrame, flow: str = "stream_id", label: str = "label") -> DataFrame:
     """Flows, packets and their shares per label; flows are made distinct before they are counted."""
-    pairs = df.groupBy(c(label).alias("label"), c(flow).alias("_flow")).agg(F.count(F.lit(1)).alias("_n"))
-    totals = pairs.groupBy("_flow").agg(F.sum("_n").alias("_n")).agg(
-        F.count("_flow").alias("f"), F.sum("_n").alias("p")
-    )
-    n_flows, n_packets = totals.select("f").scalar(), totals.select("p").scalar()
-    return pairs.groupBy("label").agg(F.count("_flow").alias("flows"), F.sum("_n").alias("packets")).select(
-        "label",
-        "flows",
-        "packets",
-        (F.col("flows") / F.greatest(n_flows, F.lit(1))).alias("flow_ratio"),
-        (F.col("packets") / F.greatest(n_packets, F.lit(1))).alias("packet_ratio"),
+    pairs = df.groupBy(c(label).alias("_label"), c(flow).alias("_flow")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per flow with its few labels; the extra entry without a label counts the flow once for the totals
+    entry = F.struct(F.col("_label").alias("label"), F.col("_n").alias("n"), F.lit(False).alias("is_total"))
+    total = F.struct(F.lit(None).cast("string").alias("label"), F.sum("_n").alias("n"), F.lit(True).alias("is_total"))
+    per_flow = pairs.groupBy("_flow").agg(F.concat(F.collect_list(entry), F.array(total)).alias("e"))
+    counts = (
+        per_flow.select("_flow", F.explode("e").alias("e"))
+        .groupBy("e.label", "e.is_total")
+        .agg(F.count("_flow").alias("flows"), F.sum("e.n").alias("packets"))
     )
+    everything = Window.partitionBy(F.lit(0))
+
+    def share(name: str) -> Column:
+        whole = F.max(F.when(F.col("is_total"), F.col(name))).over(everything)
+        return F.col(name) / F.greatest(whole, F.lit(1))
+
+    shares = counts.withColumn("flow_ratio", share("flows")).withColumn("packet_ratio", share("packets"))
+    return shares.filter(~F.col("is_total")).drop("is_total")

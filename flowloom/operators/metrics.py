@@ -13,24 +13,25 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.scalars import argmax, max_probability
 from flowloom.operators.scores import LOGITS, flow_label, flow_mean
-from flowloom.scale import c, skew_join
+from flowloom.scale import c, small_side
 
 EPS = 1e-8
 
 
 def confusion_matrix(
     df: DataFrame, num_classes: int, actual: str = "actual", predicted: str = "predicted", keys: Sequence[str] = (),
-    extra_columns: int = 0,
+    extra_columns: int = 0, weight: Column | None = None,
 ) -> DataFrame:
     """Counts for every (actual, predicted) cell, zeros included; ids out of range are skipped.
 
-    `extra_columns` allows that many more predicted ids than classes (an "unknown" column).
+    `extra_columns` allows that many more predicted ids than classes (an "unknown" column). `weight` counts a row more
+    than once, for tables that are already grouped.
     """
     width = num_classes + extra_columns
     inside = F.col("actual").between(0, num_classes - 1) & F.col("predicted").between(0, width - 1)
     counted = (
         df.groupBy(*keys, c(actual).cast("long").alias("actual"), c(predicted).cast("long").alias("predicted"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
         .filter(inside)
     )
     cells = F.flatten(
@@ -125,14 +126,17 @@ def flow_eval(
 ) -> DataFrame:
     """Flow-level metrics with the number of flows and of flows with mixed labels."""
     predicted = flow_predictions(df, num_classes, use_prob_mean, flow, label)
-    counts = predicted.agg(
-        F.count(F.lit(1)).alias("num_flows"), F.count_if(F.col("is_mixed")).alias("inconsistent_flows")
-    )
-    metrics = classification_metrics(confusion_matrix(predicted, num_classes))
+    # at most two rows per cell of the matrix: everything below reads this table
+    cells = small_side(predicted.groupBy("actual", "predicted", "is_mixed").agg(F.count(F.lit(1)).alias("m")))
+    counts = cells.agg(
+        F.struct(
+            F.coalesce(F.sum("m"), F.lit(0)).alias("all"),
+            F.coalesce(F.sum(F.when(F.col("is_mixed"), F.col("m"))), F.lit(0)).alias("mixed"),
+        ).alias("c")
+    ).scalar()
+    metrics = classification_metrics(confusion_matrix(cells, num_classes, weight=F.col("m")))
     return metrics.select(
-        "*",
-        counts.select("num_flows").scalar().alias("num_flows"),
-        counts.select("inconsistent_flows").scalar().alias("inconsistent_flows"),
+        "*", counts["all"].cast("long").alias("num_flows"), counts["mixed"].cast("long").alias("inconsistent_flows")
     )
 
 
@@ -148,17 +152,14 @@ def reject_predictions(df: DataFrame, num_classes: int, threshold: float = 0.9,
 
 def reject_eval(df: DataFrame, num_classes: int, threshold: float = 0.9, label: str = "label_id") -> DataFrame:
     """Metrics over accepted rows and the rejection rate; classes without an accepted row do not count."""
-    predicted = reject_predictions(df, num_classes, threshold, label)
-    accepted = (
-        predicted.filter(F.col("predicted") < num_classes)
+    cells = small_side(
+        reject_predictions(df, num_classes, threshold, label)
         .groupBy(F.col("actual").cast("long").alias("actual"), F.col("predicted").cast("long").alias("predicted"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    rate = predicted.agg(
-        F.coalesce(F.try_divide(F.count_if(F.col("predicted") == num_classes), F.count(F.lit(1))), F.lit(0.0)).alias(
-            "r"
-        )
-    ).scalar()
+    accepted = cells.filter(F.col("predicted") < num_classes)
+    rejected = F.sum(F.when(F.col("predicted") == num_classes, F.col("n")).otherwise(F.lit(0)))
+    rate = cells.agg(F.coalesce(F.try_divide(rejected, F.sum("n")), F.lit(0.0)).alias("r")).scalar()
     metrics = classification_metrics(accepted)
     names = [n for n in metrics.columns if n != "samples"]
     return metrics.select(

@@ -92,9 +92,9 @@ def sorted_rank(
 
 def rank_by_number(df: DataFrame, column: str, within: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """`sorted_rank` by a unique numeric column, in buckets of equal width."""
-    bounds = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    return sorted_rank(df, [F.col(column)], spread(F.col(column), low, high), within, name)
+    ends = F.struct(F.min(column).alias("low"), F.max(column).alias("high"))
+    bounds = df.agg(ends.alias("b")).scalar()
+    return sorted_rank(df, [F.col(column)], spread(F.col(column), bounds["low"], bounds["high"]), within, name)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, counts: str | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, count
     """
     weight = F.sum(counts) if counts else F.count(F.lit(1))
     sizes = df.groupBy(*keys).agg(weight.alias("_n"))
-    total = df.agg(weight.cast("double").alias("t")).scalar()
+    total = sizes.agg(F.sum("_n").cast("double").alias("t")).scalar()
     return sizes.filter(F.col("_n") > F.greatest(F.lit(float(hot_rows)), total * F.lit(HOT_SHARE))).select(*keys)
 
 

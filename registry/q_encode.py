@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.catalog import CATALOG, catalog_table, fields_of_type
+from flowloom.catalog import CATALOG, catalog_table
 from flowloom.functions import scalars
 from flowloom.operators import columns, encode, metrics
 from flowloom.scale import c
 from registry.core import query
-from registry.fixtures import FIELDS, NUM_CLASSES, packets, packets_pure, table, with_views
+from registry.fixtures import FIELDS, NUM_CLASSES, packets, table, with_views
 from registry.q_scores import PACKET_CM, PER_CLASS, scores
 
 # texts of all shapes a hex field can have
@@ -278,12 +278,6 @@ def label_map(spark, sf_dir):
     return encode.apply_label_map(df, labels).select("packet_id", "label_id")
 
 
-def weights_sql(counts: str, expression: str) -> str:
-    return f"""with packets as (select * from events), n as (select range as label_id, greatest(coalesce(x.n, 0), 1) as n
-        from range({NUM_CLASSES + 1}) left join ({counts}) x on x.label_id = range)
-      select label_id, n, round({expression}, 6) as weight from n"""
-
-
 _RAW_WEIGHT = f"(select sum(n) from n)::double / ({float(NUM_CLASSES + 1)}::double * n)"
 
 

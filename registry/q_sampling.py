@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from flowloom.operators import sampling
 from registry.core import query
-from registry.fixtures import orders_labelled, packets_pure, with_views
+from registry.fixtures import orders_labelled, packets, packets_pure, with_views
 
 VAL_RATIO = f"{0.1 / (1.0 - 0.1)!r}::double"
 N_TEST = "case when n - ceil(0.1::double * n) >= 1 then ceil(0.1::double * n) else 0 end"
@@ -64,8 +66,6 @@ def split_flows(spark, sf_dir):
 )
 def split_flows_mixed(spark, sf_dir):
     """Flows are (label, flow) pairs, so a flow with several labels may fall into several splits."""
-    from registry.fixtures import packets
-
     return sampling.split_flows(packets(spark, sf_dir).select("packet_id", "label", "stream_id"))
 
 
@@ -213,7 +213,5 @@ SKEWED = "case when row_id % 100 = 0 then 'rare' when row_id % 3 = 0 then 'hot'
     ),
 )
 def balance(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     df = orders_labelled(spark, sf_dir).withColumn("label", F.expr(SKEWED)).select("row_id", "label")
     return sampling.balance(df, 0.5, "row_id")

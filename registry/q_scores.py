@@ -20,8 +20,6 @@ def flow_rows(df, keys=(FLOW,), column="scores", index="class_id"):
     return long.withColumn("value", F.round("value", 6))
 
 
-LONG = "select *, unnest(range(0, 5)) as class_id, unnest(logits) as x from scores"
-LONG_CLASS = "select packet_id, stream_id, class_id::int as class_id, x, top, packet_score from lx"
 PROBS = """select packet_id, stream_id, label_id, list_transform(logits, lambda x: exp(x - m) /
   list_sum(list_transform(logits, lambda y: exp(y - m)))) as p from (select *, list_max(logits) as m from scores)"""
 LX = "select packet_id, stream_id, packet_score, list_max(logits) as top, unnest(range(0, 5))::int as class_id, " \
@@ -431,3 +429,23 @@ def robustness_table(spark, sf_dir):
         lambda x, i: x + F.col("noise_level") * ((F.col("packet_id") * 13 * (i + 1)) % 29).cast("double") / 10.0,
     )
     return rounded(metrics.robustness_table(df.withColumn("logits", noisy), C))
+
+
+# -- baseline scorer --------------------------------------------------------------------------------------------
+
+
+@query("mllib_scores")
+def mllib_scores(spark, sf_dir):
+    """Logistic regression on packet lengths and flow features; iterative, so without SQL."""
+    from flowloom.operators import flows
+    from flowloom.plans.scoring import train_scores
+    from registry.fixtures import packets_pure
+
+    df = packets_pure(spark, sf_dir).withColumn("split", F.expr(SPLIT))
+    df = df.withColumn("length", scalars.hex_to_long(F.col("`ip.len`")))
+    featured = flows.flow_features(df, "source", "packet_id")
+    names = ["length", "flow_avg_len", "flow_std_len", "flow_large_pkt_ratio", "flow_max_iat"]
+    scored = train_scores(featured.filter(F.col("split") == "train"), featured, names, C)
+    return scored.select(
+        "packet_id", "stream_id", "label_id", scalars.argmax(F.col("logits")).alias("predicted")
+    )

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalars import jaccard
-from flowloom.operators.columns import align_schema, union_by_name, wide_to_long
+from flowloom.operators.columns import drop_all_null_columns, pad_nulls, wide_to_long
+from flowloom.operators.encode import integer_code
 from flowloom.operators.trees import dotted_edges
-from flowloom.scale import c, small_side, skew_join
+from flowloom.scale import c, quoted, small_side
 
 DEFAULT_EXPERT = "default_expert"
 
@@ -108,6 +109,44 @@ def column_blocks(signatures: DataFrame, kind: str = "discrete") -> DataFrame:
     raise ValueError("kind must be 'discrete' or 'continuous'")
 
 
+def column_block_slices(
+    df: DataFrame, column_block_table: DataFrame, index: str, label: str = "label"
+) -> dict[int, DataFrame]:
+    """Per column block its rows (those where its columns are set): index first, the block's columns, label last."""
+    members: dict[int, list[str]] = {}
+    for row in column_block_table.orderBy("position").collect():  # one row per column
+        members.setdefault(row["block"], []).append(row["field"])
+    return {
+        block: df.filter(c(names[0]).isNotNull()).select(
+            *dict.fromkeys([quoted(index), *map(quoted, names), quoted(label)])
+        )
+        for block, names in members.items()
+    }
+
+
+def pad_or_truncate(
+    df: DataFrame,
+    pad: bool,
+    index: str,
+    kind: str = "continuous",
+    label: str = "label",
+    segments: str = "tcp.reassembled_segments",
+    pad_value: str = "ffff",
+) -> list[DataFrame]:
+    """Drop all-null columns and code the segment lists; then pad the nulls, or cut the table into column blocks."""
+    kept = drop_all_null_columns(df)
+    if segments in kept.columns:
+        coded = integer_code(kept, segments, index, out="_segments")
+        kept = coded.select(
+            *[F.col("_segments").cast("string").alias(n) if n == segments else c(n) for n in kept.columns]
+        )
+    if pad:
+        return [pad_nulls(kept, pad_value)]
+    signatures = column_signatures(kept, kept.columns, index)
+    slices = column_block_slices(kept, column_blocks(signatures, kind), index, label)
+    return [slices[block] for block in sorted(slices)]
+
+
 # -- summaries --------------------------------------------------------------------------------------------------
 
 

@@ -9,11 +9,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
 from flowloom.operators.encode import class_weights
-from flowloom.scale import small_side
+from flowloom.scale import c, small_side
+from flowloom.session import durable
 
 
 def fit_scorer(train: DataFrame, features: Sequence[str], num_classes: int, max_iter: int = 20) -> PipelineModel:
@@ -37,10 +37,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.withColumn("logits", vector_to_array("rawPrediction")).drop(*added)
 
 
-def train_scores(train: DataFrame, df: DataFrame, features: Sequence[str], num_classes: int) -> DataFrame:
-    """Fit on `train`, score `df`."""
-    doubles = [F.col(f"`{n}`").cast("double").alias(n.replace(".", "_")) for n in features]
+def train_scores(df: DataFrame, is_train: Column, features: Sequence[str], num_classes: int) -> DataFrame:
+    """Fit on the rows where `is_train` holds, score all rows. The numeric table is checkpointed for the iterations."""
     names = [n.replace(".", "_") for n in features]
+    doubles = [c(n).cast("double").alias(name) for n, name in zip(features, names, strict=True)]
     keep = [n for n in ("packet_id", "frame_num", "stream_id", "label_id") if n in df.columns]
-    model = fit_scorer(train.select(*keep, *doubles), names, num_classes)
-    return score(model, df.select(*keep, *doubles)).select(*keep, "logits")
+    numeric = durable(df.select(*keep, is_train.alias("_train"), *doubles))
+    model = fit_scorer(numeric.filter("_train"), names, num_classes)
+    return score(model, numeric).select(*keep, "logits")

@@ -52,18 +52,42 @@ def read_packets_csv(spark: SparkSession, paths: str | Sequence[str], columns: S
     return spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, schema=schema)
 
 
+def frames_by_header(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
+    """One all-string table per distinct header; files with equal headers are read together."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(paths):
+        by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
+    return [read_packets_csv(spark, group, header) for header, group in by_header.items()]
+
+
+def merge_csvs(spark: SparkSession, root: str, prefix: str = "", suffix: str = ".csv") -> DataFrame:
+    """All matching CSV files below `root` by column name; absent columns are null."""
+    found = discover_files(spark, root, prefix, suffix).select("path").collect()  # one row per file
+    return union_by_name(frames_by_header(spark, [row["path"] for row in found]))
+
+
+def merge_label_folders(spark: SparkSession, root: str, add_label: bool = False) -> dict[str, DataFrame]:
+    """One table per folder directly below `root`, of all CSV files in it, optionally with the folder as label."""
+    found = discover_files(spark, root, suffix=".csv").select("path").collect()
+    by_folder: dict[str, list[str]] = {}
+    for row in found:
+        inside = row["path"].split(root.rstrip("/") + "/", 1)[-1]
+        if inside.count("/") == 1:
+            by_folder.setdefault(inside.split("/")[0], []).append(row["path"])
+    merged = {name: union_by_name(frames_by_header(spark, paths)) for name, paths in sorted(by_folder.items())}
+    if not add_label:
+        return merged
+    return {name: frame.withColumn("label", F.lit(name)) for name, frame in merged.items()}
+
+
 def consolidate_csvs(spark: SparkSession, paths: Sequence[str], prefixes: Sequence[str] = LAYER_PREFIXES) -> DataFrame:
     """All CSV files as one table: label from the file name, layer fields, sorted schema, `frame_num` 1..N by path.
 
-    Files with equal headers are read together. Row numbers come from the row counts per file split, summed up over
+    Row numbers come from the row counts per file split, summed up over
     the splits in path and offset order; rows themselves are never sorted.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(paths):
-        by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
     parts = []
-    for header, group in by_header.items():
-        frame = read_packets_csv(spark, group, header)
+    for frame in frames_by_header(spark, paths):
         parts.append(
             frame.select(
                 F.col("_metadata.file_path").alias("_path"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from flowloom.operators import blocks
@@ -105,6 +107,35 @@ def column_blocks_continuous(spark, sf_dir):
     return blocks.column_blocks(blocks.column_signatures(packets(spark, sf_dir), FIELDS, "packet_id"), "continuous")
 
 
+@query(
+    "column_block_rows",
+    with_views(
+        "select block, string_agg(field, '|' order by position) as fields, any_value(n) as n_rows from (select "
+        "field, position, sum(changed) over (order by position)::bigint as block, n from (select *, "
+        "case when sig <> lag(sig) over (order by position) then 1 else 0 end as changed from s)) group by 1",
+        "packets",
+        s=_SIGNATURES.replace("as sig from", "as sig, {0} as n from") if False else " union all ".join(
+            f"select {i} as position, '{n}' as field, coalesce(md5(string_agg(case when \"{n}\" is not null "
+            f"then packet_id::varchar end, ',' order by packet_id)), '') as sig, count(\"{n}\") as n from packets"
+            for i, n in enumerate(FIELDS)
+        ),
+    ),
+)
+def column_block_rows(spark, sf_dir):
+    """Rows of each slice of the table by runs of columns with equal row sets."""
+    df = packets(spark, sf_dir)
+    table_of_blocks = blocks.column_blocks(blocks.column_signatures(df, FIELDS, "packet_id"), "continuous")
+    counted = [
+        part.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(block).cast("long").alias("block"),
+            F.lit("|".join(n for n in part.columns if n in FIELDS)).alias("fields"),
+            "n_rows",
+        )
+        for block, part in blocks.column_block_slices(df, table_of_blocks, "packet_id").items()
+    ]
+    return reduce(lambda a, b: a.union(b), counted)
+
+
 # -- summaries --------------------------------------------------------------------------------------------------
 
 

@@ -445,7 +445,7 @@ def mllib_scores(spark, sf_dir):
     df = df.withColumn("length", scalars.hex_to_long(F.col("`ip.len`")))
     featured = flows.flow_features(df, "source", "packet_id")
     names = ["length", "flow_avg_len", "flow_std_len", "flow_large_pkt_ratio", "flow_max_iat"]
-    scored = train_scores(featured.filter(F.col("split") == "train"), featured, names, C)
+    scored = train_scores(featured, F.col("split") == "train", names, C)
     return scored.select(
         "packet_id", "stream_id", "label_id", scalars.argmax(F.col("logits")).alias("predicted")
     )

@@ -236,3 +236,22 @@ def test_root_falls_back_to_dotted_tops(spark):
     assert {r["child"] for r in trees.add_root(both, "g").collect() if r["parent"] == "root"} == {"x"}
     every = trees.add_root(both, "g", mode="all_top")
     assert {r["child"] for r in every.collect() if r["parent"] == "root"} == {"x", "a.b"}
+
+
+def test_pad_or_truncate(spark):
+    data = [(1, None, "x", "[1, 2]", "l"), (2, "v", None, "[]", "l"), (3, "w", None, "[1, 2]", "m")]
+    df = spark.createDataFrame(
+        data, "index bigint, `ip.a` string, `ip.b` string, `tcp.reassembled_segments` string, label string"
+    ).withColumn("ip.none", F.lit(None).cast("string"))
+    padded = blocks.pad_or_truncate(df, True, "index")[0].orderBy("index").collect()
+    assert [tuple(r) for r in padded] == [
+        (1, "ffff", "x", "0", "l"), (2, "v", "ffff", "-1", "l"), (3, "w", "ffff", "0", "m")
+    ]
+    parts = blocks.pad_or_truncate(df, False, "index")
+    assert [p.columns for p in parts] == [
+        ["index", "label"], ["index", "ip.a", "label"], ["index", "ip.b", "label"],
+        ["index", "tcp.reassembled_segments", "label"],
+    ]
+    assert [p.count() for p in parts] == [3, 2, 1, 3]
+    joined = blocks.pad_or_truncate(df, False, "index", kind="discrete")
+    assert [p.columns for p in joined][0] == ["index", "tcp.reassembled_segments", "label"]

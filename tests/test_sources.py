@@ -183,3 +183,18 @@ def test_column_helpers(spark):
     union = columns.lock_schema([df.select("label"), df.select("`tls.y`")], "union")
     assert union[0].columns == ["label", "tls.y"]
     assert columns.valid_flow_rows(df.withColumn("stream_id", F.col("`tls.y`"))).count() == 2
+
+
+def test_merge_csv_folders(spark, tmp_path):
+    root = tmp_path / "labels"
+    for name, text in (("web/a.csv", "x,y\n1,2\n"), ("web/b.csv", "y,z\n3,4\n"), ("mail/c.csv", "x\n5\n")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    merged = tables.merge_label_folders(spark, str(root), add_label=True)
+    assert set(merged) == {"web", "mail"}
+    web = {(r["x"], r["y"], r["z"], r["label"]) for r in merged["web"].collect()}
+    assert web == {("1", "2", None, "web"), (None, "3", "4", "web")}
+    everything = tables.merge_csvs(spark, str(root))
+    assert everything.count() == 3
+    assert set(everything.columns) == {"x", "y", "z"}
+    assert tables.merge_csvs(spark, str(root), prefix="c").count() == 1

@@ -333,12 +333,8 @@ def apply_merge(df: DataFrame, fields: Sequence[str], blocks: DataFrame, plan: D
     Orphans go to `default_expert`, whose schema is the union of the orphans' fields.
     """
     schemas = blocks.select(F.col("block_id").alias("target_id"), F.col("schema").alias("target_schema"))
-    orphan_schema = (
-        plan.filter(F.col("role") == "orphan")
-        .join(blocks.select("block_id", "schema"), "block_id")
-        .agg(F.array_distinct(F.flatten(F.collect_set("schema"))).alias("s"))
-        .scalar()
-    )
+    orphans = plan.filter(F.col("role") == "orphan").join(blocks.select("block_id", "schema"), "block_id")
+    orphan_schema = orphans.select(F.explode("schema").alias("field")).agg(F.collect_set("field").alias("s")).scalar()
     targets = plan.join(schemas, "target_id", "left").select(
         "block_id",
         F.coalesce(F.col("target_id").cast("string"), F.lit(DEFAULT_EXPERT)).alias("expert"),
@@ -363,8 +359,8 @@ def target_classes(df: DataFrame, main_blocks: Column, min_samples: int = 3000)
 
 def block_fields(blocks: DataFrame, ids: Sequence[int]) -> set[str]:
     """Fields of the given blocks."""
-    rows = blocks.filter(F.col("block_id").isin(list(ids))).agg(F.array_distinct(F.flatten(F.collect_set("schema"))))
-    return set(rows.first()[0] or [])
+    rows = blocks.filter(F.col("block_id").isin(list(ids))).select(F.explode("schema").alias("field")).distinct()
+    return {row["field"] for row in rows.collect()}  # at most the table's columns
 
 
 def augment_main(

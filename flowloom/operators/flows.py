@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.scalars import hex_to_long, norm_hex, segment_numbers, tsval
 from flowloom.operators.columns import wide_to_long
 from flowloom.scale import (
+    HOT_ROWS,
     c,
     digest,
     exact_medians,
@@ -17,6 +18,7 @@ from flowloom.scale import (
     skew_join,
     small_side,
     sorted_rank,
+    split_hot,
     top_per_group,
 )
 from flowloom.session import durable
@@ -301,40 +303,61 @@ def flow_features(
 
 
 def direction_and_gap(
-    df: DataFrame, row_id: str, flow: str = "stream_id", time_columns: Sequence[str] = TIME_COLUMNS
+    df: DataFrame,
+    row_id: str,
+    flow: str = "stream_id",
+    time_columns: Sequence[str] = TIME_COLUMNS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `flow_dir_sign` and `flow_iat_local` per packet.
 
     +1 if the endpoints equal those of the flow's first packet (per column the first non-null one), else -1; by
     address, else by port, else 0. The gap is the time since the flow's previous packet, 0 for the first. Ties in time
-    keep table order. First endpoints are aggregates; only the first packet of each distinct time can have a gap, and
-    that one is found by its own id, so no window holds a whole flow.
+    keep table order. Ordinary flows take one window; hot ones are aggregated and cut into chunks instead.
     """
     time_column = pick_time_column(df, time_columns)
+    pairs = (("ip.src", "ip.dst"), ("tcp.srcport", "tcp.dstport"))
+    ends = next((pair for pair in pairs if set(pair) <= set(df.columns)), ())
     time = packet_time(time_column) if time_column else F.lit(0.0)
-    ends = next(
-        (pair for pair in (("ip.src", "ip.dst"), ("tcp.srcport", "tcp.dstport")) if set(pair) <= set(df.columns)), None
-    )
     keyed = df.withColumn("flow", flow_number(c(flow))).withColumn("_t", time)
+    ordinary, hot_part, _ = split_hot(keyed, ["flow"], hot_rows)
+    result = _context_by_window(ordinary, row_id, ends)
+    if hot_part is not None:
+        width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
+        result = result.unionByName(_context_by_chunks(hot_part, row_id, ends, width))
+    if ends:
+        same = [F.coalesce(c(n), F.lit("")) == F.coalesce(F.col(f"_first{i}"), F.lit("")) for i, n in enumerate(ends)]
+        sign = F.when(same[0] & same[1], F.lit(1.0)).otherwise(F.lit(-1.0))
+    else:
+        sign = F.lit(0.0)
+    return result.withColumn("flow_dir_sign", sign).select(
+        *[c(name) for name in df.columns],
+        "flow_dir_sign",
+        F.coalesce("_gap", F.lit(0.0)).alias("flow_iat_local"),
+    )
+
+
+def _context_by_window(keyed: DataFrame, row_id: str, ends: Sequence[str]) -> DataFrame:
+    """Add `_first<i>` and `_gap` by a window per flow."""
+    line = Window.partitionBy("flow").orderBy("_t", c(row_id))
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = {f"_first{i}": F.first(c(n), ignorenulls=True).over(whole) for i, n in enumerate(ends)}
+    return keyed.withColumns({**firsts, "_gap": F.col("_t") - F.lag("_t").over(line)})
+
+
+def _context_by_chunks(keyed: DataFrame, row_id: str, ends: Sequence[str], width: float) -> DataFrame:
+    """The same for few huge flows, without a window over a whole flow.
+
+    First endpoints are aggregates, one broadcast row per hot flow. Only the first packet of each distinct time can
+    have a gap, and that one is found by its own id.
+    """
     result = keyed
     if ends:
         order = F.struct(F.col("_t"), c(row_id))
         firsts = keyed.groupBy("flow").agg(
             *[F.min_by(c(n), F.when(c(n).isNotNull(), order)).alias(f"_first{i}") for i, n in enumerate(ends)]
         )
-        same = [
-            F.coalesce(c(n), F.lit("")) == F.coalesce(F.col(f"_first{i}"), F.lit("")) for i, n in enumerate(ends)
-        ]
-        result = (
-            skew_join(keyed, firsts, ["flow"], salt_by=c(row_id))
-            .withColumn("flow_dir_sign", F.when(same[0] & same[1], F.lit(1.0)).otherwise(F.lit(-1.0)))
-            .drop("_first0", "_first1")
-        )
-    else:
-        result = keyed.withColumn("flow_dir_sign", F.lit(0.0))
-    if not time_column:
-        return result.withColumn("flow_iat_local", F.lit(0.0)).drop("flow", "_t")
-    width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
+        result = keyed.join(small_side(firsts), "flow")
     times = keyed.groupBy("flow", F.col("_t").alias("t")).agg(F.min(c(row_id)).alias("_row"))
     chunk_end = F.max("t").over(Window.partitionBy("flow", "_chunk"))
     gaps = gap_chunks(times, ["flow"], width).withColumn("_end", chunk_end)
@@ -342,8 +365,7 @@ def direction_and_gap(
     line = Window.partitionBy("flow").orderBy("_chunk")
     across = gaps.filter(F.col("gap").isNull()).withColumn("gap", F.col("t") - F.lag("_end").over(line))
     row_gaps = gaps.filter(F.col("gap").isNotNull()).unionByName(across).select("_row", F.col("gap").alias("_gap"))
-    joined = result.withColumn("_row", c(row_id)).join(row_gaps, "_row", "left")
-    return joined.withColumn("flow_iat_local", F.coalesce("_gap", F.lit(0.0))).drop("flow", "_t", "_row", "_gap")
+    return result.withColumn("_row", c(row_id)).join(row_gaps, "_row", "left").drop("_row")
 
 
 def clean_features(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -31,20 +31,22 @@ def c(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def small_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+def small_rows(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame | None:
     """`df` as a local relation with a broadcast hint if it is small, else None.
 
     At most `max_rows + 1` rows are fetched to find out.
     """
     probe = df.limit(max_rows + 1).toArrow()
-    if probe.num_rows <= max_rows and probe.nbytes <= BROADCAST_BYTES:
+    if probe.num_rows <= max_rows and probe.nbytes <= max_bytes:
         return F.broadcast(df.sparkSession.createDataFrame(probe, schema=df.schema))
     return None
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`df` ready to be a join's small side: broadcast if its size allows, else checkpointed and without a hint."""
-    local = small_rows(df, max_rows)
+    local = small_rows(df, max_rows, max_bytes)
     return local if local is not None else durable(df)
 
 
@@ -108,6 +110,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, count
     return sizes.filter(F.col("_n") > F.greatest(F.lit(float(hot_rows)), total * F.lit(HOT_SHARE))).select(*keys)
 
 
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys, the hot keys); the last two are None if no key is hot.
+
+    Rows with a null key count as ordinary.
+    """
+    keys = list(keys)
+    found = hot_keys(df, keys, hot_rows).dropna(subset=[quoted(k) for k in keys]).toArrow()
+    if found.num_rows == 0:
+        return df, None, None
+    schema = df.select(*[quoted(k) for k in keys]).schema
+    hot = F.broadcast(df.sparkSession.createDataFrame(found, schema=schema))
+    columns = [quoted(name) for name in df.columns]
+    return df.join(hot, keys, "left_anti").select(*columns), df.join(hot, keys, "left_semi").select(*columns), hot
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -122,11 +141,10 @@ def skew_join(
     The list of hot keys is bounded by `hot_keys`. Without any hot key this is a plain join.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys, hot_rows).toArrow()
-    if hot.num_rows == 0:
+    _, _, hot = split_hot(left, keys, hot_rows)
+    if hot is None:
         return left.join(right, keys, how)
-    schema = left.select(*keys).schema
-    flagged = F.broadcast(left.sparkSession.createDataFrame(hot, schema=schema).withColumn("_hot", F.lit(True)))
+    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     part = salt_by if salt_by is not None else F.xxhash64(*[c(name) for name in left.columns])
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     salted_left = (
@@ -145,14 +163,24 @@ def top_per_group(
     order: Sequence[Column],
     n: int,
     salt_by: Column,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """The first `n` rows of each group: first inside salted parts of the group, then among the survivors."""
-    parts = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    kept = parts.withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= n)
-    return kept.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
+    """The first `n` rows of each group.
+
+    Ordinary groups take one window, which Spark limits to n rows per group before its shuffle. Hot groups are cut in
+    salted parts first, so that their survivors are few.
+    """
+
+    def first(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*[quoted(k) for k in by]).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    ordinary, hot_part, _ = split_hot(df, keys, hot_rows)
+    if hot_part is None:
+        return first(ordinary, keys)
+    salted = hot_part.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
+    return first(ordinary, keys).unionByName(first(first(salted, [*keys, "_salt"]), keys).drop("_salt"))
 
 
 def hash_cuts(

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from flowloom.operators.columns import LAYER_PREFIXES, align_schema, fields_of, union_by_name
 from flowloom.scale import c, small_side
 
+SPLIT_ROWS = 2_000_000
+SPLIT_BYTES = 512 << 20
+
 
 def discover_files(spark: SparkSession, root: str, prefix: str = "", suffix: str = "") -> DataFrame:
     """(path, base_name) of the files below `root` whose name has the prefix and suffix; contents are not read."""
@@ -101,7 +104,8 @@ def consolidate_csvs(spark: SparkSession, paths: Sequence[str], prefixes: Sequen
     order = Window.partitionBy(F.lit(0)).orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
     schema = sorted(set(merged.columns) - {"_path", "_start", "_row"})
-    numbered = merged.join(small_side(offsets), ["_path", "_start"])
+    # one row per file split (100 TB in 128 MB splits are 800 000 rows)
+    numbered = merged.join(small_side(offsets, SPLIT_ROWS, SPLIT_BYTES), ["_path", "_start"])
     return numbered.select(
         (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("frame_num"),
         label_from_path(F.col("_path")).alias("label"),

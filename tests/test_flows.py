@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom import scale
 from flowloom.operators import flows
 
 
@@ -87,15 +86,11 @@ def test_timestamp_option_wins_and_missing_is_zero(spark):
     assert row["flow_avg_iat"] == pytest.approx(20 / 3)
 
 
-@pytest.mark.parametrize(("width", "hot_rows"), [(1, 10**6), (700, 50), (10**9, 50)])
+@pytest.mark.parametrize(("width", "hot_rows"), [(1, 10**6), (1, 50), (700, 50), (700, 1), (10**9, 50)])
 def test_direction_and_gap(spark, monkeypatch, width, hot_rows):
     monkeypatch.setattr(flows, "SECONDS_PER_CHUNK", width)
-    original = scale.skew_join
-    monkeypatch.setattr(
-        flows, "skew_join", lambda *a, **k: original(*a, **{**k, "hot_rows": hot_rows, "salts": 4})
-    )
     pdf = make_packets()
-    got = flows.direction_and_gap(spark.createDataFrame(pdf), "frame_num").toPandas().sort_values("frame_num")
+    got = flows.direction_and_gap(spark.createDataFrame(pdf), "frame_num", hot_rows=hot_rows).toPandas().sort_values("frame_num")
     work = pdf.assign(
         flow=pd.to_numeric(pdf["stream_id"], errors="coerce").fillna(-1),
         t=pd.to_numeric(pdf["frame.time_epoch"], errors="coerce").fillna(0.0),
@@ -110,6 +105,15 @@ def test_direction_and_gap(spark, monkeypatch, width, hot_rows):
     np.testing.assert_allclose(got["flow_iat_local"], work["gap"])
 
 
+def test_direction_falls_back_to_ports_then_zero(spark):
+    rows = [(1, "1", "a", "b"), (2, "1", "b", "a"), (3, "1", "a", "b")]
+    df = spark.createDataFrame(rows, "frame_num bigint, stream_id string, `tcp.srcport` string, `tcp.dstport` string")
+    got = {r["frame_num"]: r["flow_dir_sign"] for r in flows.direction_and_gap(df, "frame_num").collect()}
+    assert got == {1: 1.0, 2: -1.0, 3: 1.0}
+    bare = flows.direction_and_gap(df.select("frame_num", "stream_id"), "frame_num").collect()
+    assert {(r["flow_dir_sign"], r["flow_iat_local"]) for r in bare} == {(0.0, 0.0)}
+
+
 def test_stream_key_ignores_direction_and_needs_its_columns(spark):
     rows = [("0xC0A80001", "c0a80002", "1bb", "c000", "06"), ("c0a80002", "c0a80001", "c000", "0x1BB", "06"),
             (None, "c0a80001", "c000", "1bb", "06")]

@@ -61,9 +61,12 @@ def test_skew_join_spreads_the_hot_key(spark, skewed):
     assert "_salt" in plan
 
 
-def test_top_per_group(spark, skewed):
+@pytest.mark.parametrize("hot_rows", [10, 500, 10**6])
+def test_top_per_group(spark, skewed, hot_rows):
     rows, df = skewed
-    got = {(r["k"], r["id"]) for r in scale.top_per_group(df, ["k"], [F.desc("x")], 5, F.col("id"), 8).collect()}
+    top = scale.top_per_group(df, ["k"], [F.desc("x")], 5, F.col("id"), hot_rows, 8)
+    assert top.columns == df.columns
+    got = {(r["k"], r["id"]) for r in top.collect()}
     expected = set()
     for key in {r[1] for r in rows}:
         best = sorted((r for r in rows if r[1] == key), key=lambda r: -r[2])[:5]

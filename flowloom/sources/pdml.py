@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+FIELD_MAP = T.MapType(T.StringType(), T.StringType())
 MAX_VALUE_LENGTH = 64
 PACKET_END = "</packet>"
 
@@ -36,13 +38,25 @@ def packet_fields(xml: str | None, max_len: int = MAX_VALUE_LENGTH) -> dict[str,
 
 def parse_packets(df: DataFrame, xml: str = "value", max_len: int = MAX_VALUE_LENGTH) -> DataFrame:
     """Replace the XML text column by `fields map<string,string>`; text without a readable packet is dropped."""
-
-    @F.pandas_udf("map<string,string>")
-    def parse(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda text: packet_fields(text, max_len))
-
-    parsed = df.withColumn("fields", parse(F.col(xml))).drop(xml)
-    return parsed.filter(F.col("fields").isNotNull() & (F.size("fields") > 0))
+    others = [name for name in df.columns if name != xml]
+    schema = T.StructType([*[df.schema[name] for name in others], T.StructField("fields", FIELD_MAP)])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: list[str] = []
+            values: list[str] = []
+            ends = [0]
+            for text in batch.column(xml).to_pylist():
+                found = packet_fields(text, max_len) or {}
+                names.extend(found)
+                values.extend(found.values())
+                ends.append(len(names))
+            maps = pa.MapArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())
+            )
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], maps], names=[*others, "fields"])
+
+    return df.mapInArrow(parse, schema).filter(F.size("fields") > 0)
 
 
 def read_pdml(spark: SparkSession, path: str | Sequence[str], max_len: int = MAX_VALUE_LENGTH) -> DataFrame:

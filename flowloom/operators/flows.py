@@ -142,20 +142,45 @@ def gap_chunks(times: DataFrame, keys: Sequence[str], width: float) -> DataFrame
     return chunked.withColumn("gap", F.col("t") - F.lag("t").over(line))
 
 
-def time_stats(df: DataFrame, flow: Column, time_column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Gap and duration statistics per flow.
+def time_stats(
+    df: DataFrame, flow: Column, time_column: str, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Gap and duration statistics per flow; the first packet of a flow counts with gap 0.
 
-    Equal times are collapsed first (their gaps are 0), then gaps are taken inside chunks of the time line, and
-    chunk moments are merged with the gaps between chunks. No window sees more than one chunk, or one row per chunk.
-    The first packet of a flow counts with gap 0.
+    Ordinary flows take one window and one shuffle, hot ones are cut into chunks.
     """
     group = [*keys, "flow"]
+    timed = df.select(*keys, flow.alias("flow"), packet_time(time_column).alias("t"))
+    ordinary, hot_part, _ = split_hot(timed, group, hot_rows)
+    stats = _time_stats_by_window(ordinary, group)
+    if hot_part is None:
+        return stats
     width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
-    times = (
-        df.select(*keys, flow.alias("flow"), packet_time(time_column).alias("t"))
-        .groupBy(*group, "t")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    return stats.unionByName(_time_stats_by_chunks(hot_part, group, width))
+
+
+def _time_stats_by_window(timed: DataFrame, group: Sequence[str]) -> DataFrame:
+    line = Window.partitionBy(*group).orderBy("t")
+    gap = F.coalesce(F.col("t") - F.lag("t").over(line), F.lit(0.0))
+    return (
+        timed.withColumn("_gap", gap)
+        .groupBy(*group)
+        .agg(
+            F.avg("_gap").alias("flow_avg_iat"),
+            F.coalesce(F.stddev_samp("_gap"), F.lit(0.0)).alias("flow_std_iat"),
+            F.max("_gap").alias("flow_max_iat"),
+            ((F.max("t") - F.min("t")) / (F.count(F.lit(1)) + F.lit(EPSILON))).alias("flow_duration_per_pkt"),
+        )
     )
+
+
+def _time_stats_by_chunks(timed: DataFrame, group: Sequence[str], width: float) -> DataFrame:
+    """The same for huge flows, without a window over a whole flow.
+
+    Equal times are collapsed first (their gaps are 0), then gaps are taken inside chunks of the time line, and chunk
+    moments are merged with the gaps between chunks. A window sees one chunk, or one row per chunk.
+    """
+    times = timed.groupBy(*group, "t").agg(F.count(F.lit(1)).alias("_n"))
     chunks = (
         gap_chunks(times, group, width)
         .groupBy(*group, "_chunk")
@@ -195,6 +220,7 @@ def flow_stats(
     flow: str = "stream_id",
     time_columns: Sequence[str] = TIME_COLUMNS,
     keys: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-flow features, keyed by `flow` (and `keys`, for example the split)."""
     if "ip.len" not in df.columns or flow not in df.columns:
@@ -204,7 +230,7 @@ def flow_stats(
     time_column = pick_time_column(df, time_columns)
     if time_column is None:
         return lengths
-    return lengths.join(time_stats(df, number, time_column, keys), [*keys, "flow"])
+    return lengths.join(time_stats(df, number, time_column, keys, hot_rows), [*keys, "flow"])
 
 
 def feature_names(stats: DataFrame) -> list[str]:

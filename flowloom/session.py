@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a packet's XML can be large, so Arrow batches are bounded by bytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # HotSpot never compiles methods above 8000 bytes; wide projections then run faster as split functions
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -58,12 +58,13 @@ def expected_stats(pdf):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 64, 1024, 10**9])
-def test_flow_stats_do_not_depend_on_the_chunk_width(spark, monkeypatch, width):
+@pytest.mark.parametrize(("width", "hot_rows"), [(1, 1), (64, 1), (1024, 20), (1024, 200), (10**9, 1), (1, 10**6)])
+def test_flow_stats_do_not_depend_on_chunks(spark, monkeypatch, width, hot_rows):
     monkeypatch.setattr(flows, "SECONDS_PER_CHUNK", width)
     pdf = make_packets()
-    got = flows.flow_stats(spark.createDataFrame(pdf)).toPandas().set_index("flow").sort_index()
+    got = flows.flow_stats(spark.createDataFrame(pdf), hot_rows=hot_rows).toPandas().set_index("flow").sort_index()
     want = expected_stats(pdf).sort_index()
+    assert got.index.is_unique
     assert list(got.index) == list(want.index)
     for name in want.columns:
         np.testing.assert_allclose(got[name].astype(float), want[name], rtol=1e-9, atol=1e-9, err_msg=name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import flows
 from flowloom.scale import c
 from registry.core import query
-from registry.fixtures import SPLIT, packets, scores, with_views
+from registry.fixtures import SPLIT, packets, with_views
 
 R = 3
 STAT_NAMES = [*flows.LENGTH_FEATURES, *flows.TIME_FEATURES]

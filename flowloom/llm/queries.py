@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import langid, mixing, toxicity, urls, warc
+from flowloom.llm import embeddings, jaccard, langid, mixing, toxicity, urls, warc
 from flowloom.llm.common import table
 from flowloom.llm.langid import held_out
 
@@ -28,12 +28,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rule_entries(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "rate", "text")
@@ -98,3 +108,44 @@ select page_id, payload_bytes, s.payload_digest,
   case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
   case when first is not null and page_id is distinct from first then first end as refers_to
 from sized s left join first f on s.payload_digest = f.payload_digest and payload_bytes >= 1000"""
+
+_COMPONENTS = """
+walk as (
+  select id as node, id as reached from nodes
+  union
+  select w.node, l.b from walk w join links l on w.reached = l.a)
+"""
+
+ORACLES["op2_embedding_near_dedup"] = f"""
+with recursive valid as (
+  select vec_id as id, label, embedding::double[] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.id as a, b.id as b from valid a join valid b on a.label = b.label and a.id <> b.id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= {embeddings.THRESHOLD}),
+nodes as (select distinct a as id from links),
+{_COMPONENTS},
+components as (select node, min(reached) as component_id from walk group by node),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join counts on a = vec_id left join components on node = vec_id"""
+
+#: Sets of shingles of five words as the join takes them, for SQL.
+_SETS = r"""
+words as (select doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null),
+sets as (
+  select id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words)"""
+
+ORACLES["op7_jaccard_join"] = f"""
+with recursive {_SETS},
+tokens as (select id, len(s) as n, unnest(s) as t from sets),
+common as (select a.id as a, b.id as b, a.n + b.n - count(*) as u, count(*) as c from tokens a join tokens b on a.t = b.t and a.id <> b.id group by a.id, b.id, a.n, b.n),
+links as (select a, b from common where c / u >= {jaccard.THRESHOLD}),
+nodes as (select distinct a as id from links),
+{_COMPONENTS},
+components as (select node, min(reached) as component_id from walk group by node),
+counts as (select a, count(*) as n from links group by a)
+select doc_id, coalesce(component_id, doc_id) as component_id, coalesce(n, 0)::bigint as n_links, doc_id = coalesce(component_id, doc_id) as kept
+from documents left join counts on a = doc_id left join components on node = doc_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import embeddings, jaccard, langid, mixing, toxicity, urls, warc
+from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, toxicity, urls, warc
 from flowloom.llm.common import table
 from flowloom.llm.langid import held_out
 
@@ -33,6 +33,34 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def file_tree(docs: DataFrame) -> DataFrame:
+    """`documents` as files: source/language/group/id.txt, with licence files by hash at each of the three levels."""
+    kind = F.crc32(F.col("doc_id").cast("string")) % 32
+    group = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 64).cast("string"))
+    name = F.when(kind < 3, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    path = F.when(kind == 0, F.concat_ws("/", source, name)).when(kind == 1, F.concat_ws("/", source, lang, name)).otherwise(F.concat_ws("/", source, lang, group, name))
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(file_tree(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), target)
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.flag(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "items", "best_share")
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

@@ -334,23 +334,26 @@ def direction_and_gap(
     flow: str = "stream_id",
     time_columns: Sequence[str] = TIME_COLUMNS,
     hot_rows: int = HOT_ROWS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Add `flow_dir_sign` and `flow_iat_local` per packet.
 
     +1 if the endpoints equal those of the flow's first packet (per column the first non-null one), else -1; by
     address, else by port, else 0. The gap is the time since the flow's previous packet, 0 for the first. Ties in time
-    keep table order. Ordinary flows take one window; hot ones are aggregated and cut into chunks instead.
+    keep table order. With `keys` (such as the split) packets of a flow count together only where these agree, so that
+    nothing of a test packet reaches the training rows. Ordinary flows take one window; hot ones are aggregated and cut into chunks instead.
     """
     time_column = pick_time_column(df, time_columns)
     pairs = (("ip.src", "ip.dst"), ("tcp.srcport", "tcp.dstport"))
     ends = next((pair for pair in pairs if set(pair) <= set(df.columns)), ())
     time = packet_time(time_column) if time_column else F.lit(0.0)
     keyed = df.withColumn("flow", flow_number(c(flow))).withColumn("_t", time)
-    ordinary, hot_part, _ = split_hot(keyed, ["flow"], hot_rows)
-    result = _context_by_window(ordinary, row_id, ends)
+    by = [*keys, "flow"]
+    ordinary, hot_part, _ = split_hot(keyed, by, hot_rows)
+    result = _context_by_window(ordinary, row_id, ends, by)
     if hot_part is not None:
         width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
-        result = result.unionByName(_context_by_chunks(hot_part, row_id, ends, width))
+        result = result.unionByName(_context_by_chunks(hot_part, row_id, ends, width, by))
     if ends:
         same = [F.coalesce(c(n), F.lit("")) == F.coalesce(F.col(f"_first{i}"), F.lit("")) for i, n in enumerate(ends)]
         sign = F.when(same[0] & same[1], F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -363,15 +366,17 @@ def direction_and_gap(
     )
 
 
-def _context_by_window(keyed: DataFrame, row_id: str, ends: Sequence[str]) -> DataFrame:
+def _context_by_window(keyed: DataFrame, row_id: str, ends: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Add `_first<i>` and `_gap` by a window per flow."""
-    line = Window.partitionBy("flow").orderBy("_t", c(row_id))
+    line = Window.partitionBy(*[c(n) for n in by]).orderBy("_t", c(row_id))
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = {f"_first{i}": F.first(c(n), ignorenulls=True).over(whole) for i, n in enumerate(ends)}
     return keyed.withColumns({**firsts, "_gap": F.col("_t") - F.lag("_t").over(line)})
 
 
-def _context_by_chunks(keyed: DataFrame, row_id: str, ends: Sequence[str], width: float) -> DataFrame:
+def _context_by_chunks(
+    keyed: DataFrame, row_id: str, ends: Sequence[str], width: float, by: Sequence[str]
+) -> DataFrame:
     """The same for few huge flows, without a window over a whole flow.
 
     First endpoints are aggregates, one broadcast row per hot flow. Only the first packet of each distinct time can
@@ -380,15 +385,15 @@ def _context_by_chunks(keyed: DataFrame, row_id: str, ends: Sequence[str], width
     result = keyed
     if ends:
         order = F.struct(F.col("_t"), c(row_id))
-        firsts = keyed.groupBy("flow").agg(
+        firsts = keyed.groupBy(*by).agg(
             *[F.min_by(c(n), F.when(c(n).isNotNull(), order)).alias(f"_first{i}") for i, n in enumerate(ends)]
         )
-        result = keyed.join(small_side(firsts), "flow")
-    times = keyed.groupBy("flow", F.col("_t").alias("t")).agg(F.min(c(row_id)).alias("_row"))
-    chunk_end = F.max("t").over(Window.partitionBy("flow", "_chunk"))
-    gaps = gap_chunks(times, ["flow"], width).withColumn("_end", chunk_end)
+        result = keyed.join(small_side(firsts), list(by))
+    times = keyed.groupBy(*by, F.col("_t").alias("t")).agg(F.min(c(row_id)).alias("_row"))
+    chunk_end = F.max("t").over(Window.partitionBy(*by, "_chunk"))
+    gaps = gap_chunks(times, list(by), width).withColumn("_end", chunk_end)
     # the first time of a chunk is one row per chunk; it looks back at the end of the chunk before
-    line = Window.partitionBy("flow").orderBy("_chunk")
+    line = Window.partitionBy(*by).orderBy("_chunk")
     across = gaps.filter(F.col("gap").isNull()).withColumn("gap", F.col("t") - F.lag("_end").over(line))
     row_gaps = gaps.filter(F.col("gap").isNotNull()).unionByName(across).select("_row", F.col("gap").alias("_gap"))
     return result.withColumn("_row", c(row_id)).join(row_gaps, "_row", "left").drop("_row")

@@ -45,7 +45,7 @@ def build_features(packets: DataFrame, row_id: str = "frame_num", options: Featu
     featured = flows.flow_features(capped, options.mode, row_id, full=packets)
     names = [n for n in featured.columns if n.startswith("flow_")]
     if options.directional:
-        featured = flows.direction_and_gap(featured, row_id)
+        featured = flows.direction_and_gap(featured, row_id, keys=["split"])
         names += ["flow_dir_sign", "flow_iat_local"]
     cleaned = flows.clean_features(featured, names)
     labelled = encode.apply_label_map(cleaned, labels)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from flowloom.operators.columns import LAYER_PREFIXES, align_schema, fields_of, union_by_name
 from flowloom.scale import c, small_side
+from flowloom.session import durable
 
 SPLIT_ROWS = 2_000_000
 SPLIT_BYTES = 512 << 20
@@ -87,7 +88,9 @@ def consolidate_csvs(spark: SparkSession, paths: Sequence[str], prefixes: Sequen
     """All CSV files as one table: label from the file name, layer fields, sorted schema, `frame_num` 1..N by path.
 
     Row numbers come from the row counts per file split, summed up over
-    the splits in path and offset order; rows themselves are never sorted.
+    the splits in path and offset order; rows themselves are never sorted. The files are read once, into the checkpoint
+    folder: counting and numbering see the same splits, whatever the settings are when the result is evaluated. A row
+    whose split has no count is an error, never dropped.
     """
     parts = []
     for frame in frames_by_header(spark, paths):
@@ -99,15 +102,16 @@ def consolidate_csvs(spark: SparkSession, paths: Sequence[str], prefixes: Sequen
                 *[c(name) for name in fields_of(frame, prefixes)],
             )
         )
-    merged = union_by_name(parts)
+    merged = durable(union_by_name(parts))
     splits = merged.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     order = Window.partitionBy(F.lit(0)).orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
     schema = sorted(set(merged.columns) - {"_path", "_start", "_row"})
     # one row per file split (100 TB in 128 MB splits are 800 000 rows)
-    numbered = merged.join(small_side(offsets, SPLIT_ROWS, SPLIT_BYTES), ["_path", "_start"])
+    numbered = merged.join(small_side(offsets, SPLIT_ROWS, SPLIT_BYTES), ["_path", "_start"], "left")
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return numbered.select(
-        (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("frame_num"),
+        F.coalesce(number, F.raise_error(F.lit("a file split was not counted")).cast("long")).alias("frame_num"),
         label_from_path(F.col("_path")).alias("label"),
         *[c(name) for name in schema],
     )

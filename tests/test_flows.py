@@ -171,3 +171,11 @@ def test_features_come_from_the_uncapped_packets(spark):
     assert len(got) == 2
     assert {r["flow_pkt_count"] for r in got} == {10.0}
     assert {r["flow_avg_len"] for r in got} == {150.0}
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+def test_direction_stays_inside_a_split(spark, hot_rows):
+    rows = [(1, "7", "train", "0a", "0b", "1.0"), (2, "7", "test", "0b", "0a", "5.0"), (3, "7", "test", "0a", "0b", "6.0")]
+    df = spark.createDataFrame(rows, "frame_num int, stream_id string, split string, `ip.src` string, `ip.dst` string, `frame.time_epoch` string")
+    out = flows.direction_and_gap(df, "frame_num", hot_rows=hot_rows, keys=["split"]).orderBy("frame_num").collect()
+    assert [(r.flow_dir_sign, r.flow_iat_local) for r in out] == [(1.0, 0.0), (1.0, 0.0), (-1.0, 1.0)]

@@ -198,3 +198,16 @@ def test_merge_csv_folders(spark, tmp_path):
     assert everything.count() == 3
     assert set(everything.columns) == {"x", "y", "z"}
     assert tables.merge_csvs(spark, str(root), prefix="c").count() == 1
+
+
+def test_consolidate_keeps_rows_when_splits_change(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "web_1.csv").write_text("ip.len\n" + "\n".join(f"{i:08x}" for i in range(20_000)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = tables.consolidate_csvs(spark, [str(tmp_path / "in" / "web_1.csv")])
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        rows = got.orderBy("frame_num").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.frame_num for r in rows] == list(range(1, 20_001)) and [int(r["ip.len"], 16) for r in rows] == list(range(20_000))

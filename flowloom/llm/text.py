@@ -125,7 +125,7 @@ def char_grams(column: pa.Array, orders: tuple[int, ...], slots: int) -> tuple[n
     value = np.zeros(len(points), dtype=np.uint64)
     broken = np.zeros(len(points), dtype=bool)
     for n in range(1, max(orders) + 1):
-        shifted = np.concatenate([points[n - 1 :], np.full(n - 1, 10, np.uint64)])
+        shifted = np.concatenate([points[n - 1 :], np.full(min(n - 1, len(points)), 10, np.uint64)])
         broken = broken | (shifted == 10)
         value = value * np.uint64(PRIME) + shifted
         if n in orders:

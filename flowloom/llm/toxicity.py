@@ -24,7 +24,7 @@ from flowloom.llm.learn import FTRL
 from flowloom.llm.text import normalized, words_of
 
 #: Bounds of the labelled rows the weights are fitted on, and of the features they may use.
-FIT_TOXIC, FIT_CLEAN, FIT_FEATURES = 1_500, 3_000, 200_000
+FIT_TOXIC, FIT_CLEAN, FIT_FEATURES = 1_000, 2_000, 200_000
 #: Besides whole words, their first bytes are features, so that stems count in all their forms.
 PREFIXES = (4, 5, 6, 7, 8)
 EPOCHS = 2
@@ -107,9 +107,10 @@ def fit(
                 names=["y", "size", "features", "counts"],
             )
 
-    sample = rows.mapInArrow(counted, "y int, size long, features binary, counts binary").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["features"], r["counts"], r["y"]))
-    examples = [(np.frombuffer(r["features"], np.uint64), np.frombuffer(r["counts"], np.int32), r["size"], r["y"]) for r in sample]
+    sample = rows.mapInArrow(counted, "y int, size long, features binary, counts binary").toArrow()
+    examples = [(np.frombuffer(f.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int32), size.as_py(), y.as_py()) for y, size, f, n in zip(*sample.columns, strict=True)]
+    # the fit depends on the order, so it mustn't depend on that of the tasks
+    examples.sort(key=lambda e: (e[2], e[3], int(np.bitwise_xor.reduce(e[0])) if len(e[0]) else 0))
     return _train(examples, [hashes_of_terms(line) for line in identity], bad / good)
 
 
@@ -125,9 +126,9 @@ def _train(examples: list[tuple], groups: list[list[np.ndarray]], odds: float) -
     for found, n, size, y in examples:
         at = np.minimum(np.searchsorted(features, found), len(features) - 1)
         hit = features[at] == found
-        slots = (2 * at[hit][:, None] + np.arange(2)).ravel()
+        slots = (2 * at[hit][:, None] + np.arange(2)).ravel().astype(np.int32)
         named = [w for term, w in swaps.items() if w and (i := np.searchsorted(found, np.uint64(term))) < len(found) and int(found[i]) == term]
-        rows.append((slots, values_of(n[hit], np.full(hit.sum(), size)).ravel(), y, named))
+        rows.append((slots, values_of(n[hit], np.full(hit.sum(), size)).ravel().astype(np.float32), y, named))
     for _ in range(EPOCHS):
         for i in draw.permutation(len(rows)):
             slots, values, y, named = rows[i]

@@ -21,17 +21,23 @@ TIMESTAMP_FIELD = "tcp.options.timestamp"
 def build_vocab(df: DataFrame, fields: Sequence[str], variant: str = "v2") -> DataFrame:
     """(field, value, id) of the distinct normalised values per field, in value order.
 
-    `v1` counts from 0 and gives unknown values the last id; `v2` counts from 1 and gives them 0. Values are made
-    distinct before they are ranked, and ranked by prefix, so a field with many values is not sorted in one task.
+    `v1` counts from 0 and gives unknown values the last id; `v2` counts from 1 and gives them 0. A field of the table
+    without any value has only the row for unknown values. Values are made distinct before they are ranked, and
+    ranked in ranges whose edges Spark samples from them, so neither a field with many values nor a common beginning
+    of its values is sorted in one task.
     """
     present = [name for name in fields if name in df.columns]
     pairs = F.array(*[F.struct(F.lit(n).alias("field"), norm_hex(c(n), OOV).alias("value")) for n in present])
     values = df.select(F.explode(pairs).alias("p")).select("p.*").distinct().filter(F.col("value") != OOV.lower())
     first = 0 if variant == "v1" else 1
-    ranked = sorted_rank(values, [F.col("value")], F.substring("value", 1, 2), within=["field"], name="_rank")
+    # written down, since sampled edges may differ when they are computed again
+    values = durable(values.repartitionByRange("field", "value").withColumn("_range", F.spark_partition_id()))
+    ranked = sorted_rank(values, [F.col("value")], F.col("_range"), within=["field"], name="_rank")
     ids = ranked.select("field", "value", (F.col("_rank") - 1 + first).alias("id"))
     sizes = values.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-    oov = sizes.select("field", F.lit(OOV).alias("value"), (F.col("n") if variant == "v1" else F.lit(0)).alias("id"))
+    names = df.sparkSession.createDataFrame([(n,) for n in present], "field string")
+    last = F.coalesce("n", F.lit(0)) if variant == "v1" else F.lit(0)
+    oov = names.join(sizes, "field", "left").select("field", F.lit(OOV).alias("value"), last.alias("id"))
     return ids.union(oov.withColumn("id", F.col("id").cast("long")))
 
 
@@ -98,16 +104,21 @@ def encode_field(field: str, kind: str) -> Column | None:
 def encode_packets(
     df: DataFrame, catalog: Mapping[str, str], vocab: DataFrame, row_id: str, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Catalog fields of the table encoded by type, `flow_*` columns as float."""
+    """Catalog fields of the table encoded by type, `flow_*` columns as float.
+
+    A field that needs a vocabulary and has none is 0 everywhere, so the columns don't depend on the vocabulary.
+    """
     fields = sorted(name for name in catalog if name in df.columns)
     flow_columns = [name for name in df.columns if name.startswith("flow_")]
     lookups = vocab_lookups(vocab)
     plain = {name: encode_field(name, catalog[name]) for name in fields}
     looked_up = [name for name in fields if plain[name] is None and name in lookups]
+    unknown = [name for name in fields if plain[name] is None and name not in lookups]
     encoded = df.select(
         *[c(name) for name in dict.fromkeys([row_id, *keep])],
         *[c(name) for name in looked_up],
         *[expr.alias(name) for name, expr in plain.items() if expr is not None],
+        *[F.lit(0).alias(name) for name in unknown],
         *[F.coalesce(c(name).try_cast("double"), F.lit(0.0)).cast("float").alias(name) for name in flow_columns],
     )
     for name in looked_up:

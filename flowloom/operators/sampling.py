@@ -14,6 +14,8 @@ from flowloom.scale import c, digest, hash_cuts, skew_join, small_side, within_c
 from flowloom.session import durable
 
 SEED = 42
+#: Copies of a row that are made in one place.
+COPIES = 4096
 
 
 def share_sizes(n: Column, test: float, validation: float) -> tuple[Column, Column]:
@@ -366,6 +368,7 @@ def balance(df: DataFrame, proportion: float, key: str, label: str = "label", se
     """Every label to exactly the average size (at least 1), rows of short labels repeated; adds `copy`.
 
     Rows are repeated evenly: each `average // n` times, and the first `average % n` in digest order once more.
+    A row with more than `COPIES` copies is cut into pieces of so many, which are spread before they are repeated.
     """
     _check(proportion)
     hashed = digest(seed, c(key))
@@ -385,6 +388,15 @@ def balance(df: DataFrame, proportion: float, key: str, label: str = "label", se
     cuts = hash_cuts(df, [label], hashed, quota, ["_extra"]).select(label, "_times", "_extra_upto")
     copies = F.col("_times") + within_cut(hashed, "_extra").cast("long")
     kept = df.join(cuts, label).withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop(
-        "_times", "_extra_upto", "_copies"
+    one = F.lit(1).cast("long")
+    few = kept.filter(F.col("_copies") <= COPIES).withColumn("copy", F.explode(F.sequence(one, F.col("_copies"))))
+    begin = F.col("_piece") * COPIES
+    pieces = kept.filter(F.col("_copies") > COPIES).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES)))
     )
+    # a given number of partitions: adaptive execution would merge them, as pieces are small before they are repeated
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = pieces.repartition(partitions, c(key), F.col("_piece")).withColumn(
+        "copy", F.explode(F.sequence(begin + 1, F.least(begin + COPIES, F.col("_copies"))))
+    )
+    return few.unionByName(many.drop("_piece")).drop("_times", "_extra_upto", "_copies")

@@ -231,6 +231,13 @@ def within_cut(hashed: Column, cut: str) -> Column:
     return F.coalesce(hashed <= F.col(f"{cut}_upto"), F.lit(False))
 
 
+def magnitude_bucket(value: Column) -> Column:
+    """A bucket number in the order of the values, 512 per power of two: tiny values spread as large ones do."""
+    # 1100 is above the exponent of every double, so that both signs count away from 0
+    steps = F.floor((F.log2(F.abs(value)) + 1100) * 512)
+    return F.when(value > 0, steps).when(value < 0, -steps).otherwise(F.lit(0)).cast("long")
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Exact median per column (and group) as rows (within, feature, median).
 
@@ -246,7 +253,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], within: Sequence[str] =
         )
         .select(*within, "_s.feature", "_s.v")
         .filter(F.col("v").isNotNull())
-        .withColumn("_b", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 1024))
+        .withColumn("_b", magnitude_bucket(F.col("v")))
     )
     key = [*within, "feature"]
     histogram = long.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_c"))

@@ -114,7 +114,7 @@ def column_blocks_continuous(spark, sf_dir):
         "field, position, sum(changed) over (order by position)::bigint as block, n from (select *, "
         "case when sig <> lag(sig) over (order by position) then 1 else 0 end as changed from s)) group by 1",
         "packets",
-        s=_SIGNATURES.replace("as sig from", "as sig, {0} as n from") if False else " union all ".join(
+        s=" union all ".join(
             f"select {i} as position, '{n}' as field, coalesce(md5(string_agg(case when \"{n}\" is not null "
             f"then packet_id::varchar end, ',' order by packet_id)), '') as sig, count(\"{n}\") as n from packets"
             for i, n in enumerate(FIELDS)

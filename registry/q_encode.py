@@ -139,6 +139,12 @@ def integer_code(spark, sf_dir):
 # -- vocabularies -----------------------------------------------------------------------------------------------
 
 CATEGORICAL = [n for n in FIELDS if CATALOG.get(n) == "categorical"]
+#: A field of the table that no packet has.
+EMPTY = next(n for n, kind in sorted(CATALOG.items()) if kind == "categorical" and n not in FIELDS)
+
+
+def with_empty(df):
+    return df.withColumn(EMPTY, F.lit(None).cast("string"))
 
 
 def _values_sql(fields) -> str:
@@ -152,13 +158,16 @@ def vocab_sql(variant: str) -> str:
     first, oov = ("- 1", "count(*)") if variant == "v1" else ("", "0::bigint")
     return (
         f"select field, value, row_number() over (partition by field order by value) {first} as id from vv "
-        f"union all select field, '__OOV__', {oov} from vv group by field"
+        f"union all select field, '__OOV__', {oov} from vv group by field "
+        f"union all select '{EMPTY}', '__OOV__', 0"
     )
 
 
 for _variant in ("v1", "v2"):
     query(f"vocab_{_variant}", with_views(vocab_sql(_variant), "packets", vv=_values_sql(CATEGORICAL)))(
-        lambda spark, sf_dir, variant=_variant: encode.build_vocab(packets(spark, sf_dir), CATEGORICAL, variant)
+        lambda spark, sf_dir, variant=_variant: encode.build_vocab(
+            with_empty(packets(spark, sf_dir)), [*CATEGORICAL, EMPTY], variant
+        )
     )
 
 _TRAIN = "packet_id % 40 < 20"
@@ -208,6 +217,7 @@ def alias(name: str) -> str:
                 for n in _PORTS
             ]
             + [f"{_LOOKUP.format(n)} as {alias(n)}" for n in _PLAIN_CATEGORICAL]
+            + [f"0 as {alias(EMPTY)}"]
             + [
                 "round(ln(1 + coalesce(('0x' || substr(\"tcp.options.timestamp\", 5, 8))::bigint, 0)), 6) "
                 "as tcp_options_timestamp"
@@ -220,8 +230,8 @@ def alias(name: str) -> str:
     ),
 )
 def encode_packets(spark, sf_dir):
-    df = packets(spark, sf_dir)
-    vocab = encode.build_vocab(df.filter(F.expr(_TRAIN)), CATEGORICAL, "v2")
+    df = with_empty(packets(spark, sf_dir))
+    vocab = encode.build_vocab(df.filter(F.expr(_TRAIN)), [*CATEGORICAL, EMPTY], "v2")
     coded = encode.encode_packets(df, CATALOG, vocab, "packet_id", keep=["label"])
 
     def shown(name):
@@ -229,7 +239,7 @@ def encode_packets(spark, sf_dir):
             return F.array_join(c(name).cast("array<string>"), ".")
         return F.round(c(name), 6) if CATALOG[name] == "numerical" else c(name)
 
-    names = [n for n in FIELDS if n in coded.columns]
+    names = [n for n in [*FIELDS, EMPTY] if n in coded.columns]
     return coded.select("packet_id", "label", *[shown(n).alias(alias(n)) for n in names])
 
 

@@ -113,3 +113,19 @@ def test_expert_columns(spark):
     }
     few = encode.expert_columns(df, ["eth", "tcp"], use_mac=False, use_port=False)
     assert {r["field"] for r in few.collect()} == {"eth.type", "tcp.options.mss", "tcp.option_kind"}
+
+
+def test_field_without_values_keeps_its_column(df):
+    empty = df.withColumn("tls.handshake.type", F.lit(None).cast("string"))
+    vocab = encode.build_vocab(empty, ["ip.proto", "tls.handshake.type"])
+    assert [tuple(r) for r in vocab.filter("field = 'tls.handshake.type'").collect()] == [("tls.handshake.type", encode.OOV, 0)]
+    for known in (vocab, encode.build_vocab(empty, ["ip.proto"])):
+        coded = encode.encode_packets(empty, CATALOG, known, "frame_num")
+        assert {r[0] for r in coded.select("`tls.handshake.type`").collect()} == {0}
+
+
+def test_vocab_of_values_with_a_common_beginning(spark):
+    values = [f"www.{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "`tls.handshake.extensions_server_name` string").repartition(7)
+    got = encode.build_vocab(df, df.columns).filter(F.col("value") != encode.OOV)
+    assert {r["value"]: r["id"] for r in got.collect()} == {v: i + 1 for i, v in enumerate(values)}

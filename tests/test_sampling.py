@@ -209,3 +209,11 @@ def test_split_is_reproducible(packets):
     again = sampling.split_flows(df.repartition(11)).groupBy("split").agg(F.bit_xor("frame_num").alias("x")).collect()
     assert sorted(first) == sorted(again)
     assert np.all([r["split"] for r in first])
+
+
+def test_balance_spreads_many_copies_of_one_row(spark):
+    df = spark.range(200_000).select("id", F.when(F.col("id") == 0, "rare").otherwise("common").alias("label"))
+    got = sampling.balance(df, 1.0, "id").filter("label = 'rare'")
+    parts = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 100_000 and len(parts) > 1
+    assert got.select("copy").distinct().count() == 100_000

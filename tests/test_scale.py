@@ -110,3 +110,13 @@ def test_small_side_checks_the_size(spark):
     large = scale.small_side(df, 10)
     assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
     assert sorted(large.collect()) == sorted(df.collect())
+
+
+def test_tiny_values_spread_over_buckets(spark):
+    values = spark.range(1, 4001).select((F.col("id") * 2.5e-7).alias("x"))
+    counts = values.groupBy(scale.magnitude_bucket(F.col("x")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert counts < 40
+    signed = spark.createDataFrame([(x,) for x in (-3.0, -1e-9, 0.0, 1e-12, 5e-4, 2.0)], "x double")
+    buckets = [r[0] for r in signed.orderBy("x").select(scale.magnitude_bucket(F.col("x"))).collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) == 6
+    assert scale.exact_medians(values, ["x"]).first()["median"] == pytest.approx(2000.5 * 2.5e-7)

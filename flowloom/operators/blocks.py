@@ -150,11 +150,14 @@ def pad_or_truncate(
 # -- summaries --------------------------------------------------------------------------------------------------
 
 
-def label_block_matrix(df: DataFrame, block_ids: Sequence[int] | None = None) -> DataFrame:
-    """Label x block row counts, zero filled; `block_ids` fixes the columns of the pivot."""
-    grouped = df.groupBy("label")
-    pivoted = grouped.pivot("block_id", block_ids) if block_ids is not None else grouped.pivot("block_id")
-    return pivoted.count().na.fill(0).orderBy("label")
+def label_block_counts(df: DataFrame) -> DataFrame:
+    """(label, block_id, n) of the pairs that occur: the matrix in long form, for any number of blocks."""
+    return df.groupBy("label", "block_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_block_matrix(df: DataFrame, block_ids: Sequence[int]) -> DataFrame:
+    """Label x block row counts, zero filled, with a column for each of the given blocks."""
+    return df.groupBy("label").pivot("block_id", list(block_ids)).count().na.fill(0).orderBy("label")
 
 
 def feature_block_matrix(blocks: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -179,39 +182,52 @@ def top_fields(blocks: DataFrame, k: int = 10) -> DataFrame:
 # -- similarity and merge plans ---------------------------------------------------------------------------------
 
 
-def rare_first(blocks: DataFrame, items: str) -> DataFrame:
-    """Add `_ranked`: the block's items ordered from rare to frequent over all blocks."""
-    exploded = blocks.select("block_id", F.explode(items).alias("_item"))
-    frequency = exploded.groupBy("_item").agg(F.count(F.lit(1)).alias("_f"))
+def rare_first(small: DataFrame, core: DataFrame, items: str) -> DataFrame:
+    """Add `_ranked`: the small block's items ordered from rare to frequent among the core blocks."""
+    exploded = small.select("block_id", F.explode(items).alias("_item"))
+    frequency = core.select(F.explode(items).alias("_item")).groupBy("_item").agg(F.count(F.lit(1)).alias("_f"))
     ranked = (
-        exploded.join(frequency, "_item")
+        exploded.join(frequency, "_item", "left")
         .groupBy("block_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_f", "_item"))).alias("_s"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_item"))).alias("_s"))
         .select("block_id", F.transform("_s", lambda s: s["_item"]).alias("_ranked"))
     )
-    return blocks.join(ranked, "block_id", "left")
+    return small.join(ranked, "block_id", "left")
 
 
-def candidate_pairs(small: DataFrame, core: DataFrame, items: str, threshold: float) -> DataFrame:
+def candidate_pairs(
+    small: DataFrame, core: DataFrame, items: str, threshold: float, supersets: bool = False
+) -> DataFrame:
     """(block_id, core_id) pairs that can reach a Jaccard of `threshold` on `items`.
 
     A pair at or above the threshold shares at least ceil(threshold * |items|) items, so it shares one of the
-    rarest |items| - that + 1; only those are joined with the core blocks' items. The prefix is at least one item,
-    which also finds every core block that holds all of them.
+    rarest |items| - that + 1; only those are joined with the core blocks' items, and only where the sizes allow the
+    threshold. `supersets` also gives every core block that may hold all items: these hold the rarest one.
     """
-    need = F.ceil(F.lit(float(threshold)) * F.size("_ranked") - F.lit(1e-9))
-    length = F.greatest(F.lit(1), F.size("_ranked") - need + 1).cast("int")
-    probes = small.select("block_id", F.explode(F.slice("_ranked", F.lit(1), length)).alias("_item"))
-    index = core.select(F.col("block_id").alias("core_id"), F.explode(items).alias("_item"))
-    return probes.join(index, "_item").select("block_id", "core_id").distinct()
+    here, there = F.size("_ranked"), F.col("_there")
+    need = F.ceil(F.lit(float(threshold)) * here - F.lit(1e-9))
+    length = F.greatest(F.lit(1), here - need + 1).cast("int")
+    probes = small.select(
+        "block_id", here.alias("_here"), F.posexplode(F.slice("_ranked", F.lit(1), length)).alias("_pos", "_item")
+    )
+    index = core.select(
+        F.col("block_id").alias("core_id"), F.size(items).alias("_there"), F.explode(items).alias("_item")
+    )
+    small_size = F.col("_here")
+    fits = F.least(small_size, there) >= F.greatest(small_size, there) * F.lit(float(threshold)) - F.lit(1e-9)
+    if supersets:
+        fits = fits | ((F.col("_pos") == 0) & (there >= small_size))
+    return probes.join(index, "_item").filter(fits).select("block_id", "core_id").distinct()
 
 
 def similar_blocks(small: DataFrame, core: DataFrame, threshold: float) -> DataFrame:
     """Field Jaccard of small/core pairs that reach `threshold` or where the core holds all fields."""
-    left = rare_first(small, "schema").select("block_id", "schema", "_ranked")
+    left = rare_first(small, core, "schema").select("block_id", "schema", "_ranked")
     smallest = core.orderBy(F.size("schema"), "block_id").limit(1).select("block_id").scalar()
     no_fields = left.filter(F.size("schema") == 0).select("block_id", smallest.alias("core_id"))
-    pairs = candidate_pairs(left, core, "schema", threshold).union(no_fields.filter(F.col("core_id").isNotNull()))
+    pairs = candidate_pairs(left, core, "schema", threshold, supersets=True).union(
+        no_fields.filter(F.col("core_id").isNotNull())
+    )
     right = core.select(F.col("block_id").alias("core_id"), F.col("schema").alias("core_schema"))
     scored = pairs.join(left.select("block_id", "schema"), "block_id").join(right, "core_id")
     excess = F.size(F.array_except("core_schema", "schema"))
@@ -281,7 +297,7 @@ def tree_similarity(small: DataFrame, core: DataFrame, threshold: float, alpha:
     left, right = with_trees(small), with_trees(core)
     pairs = None
     for items in ("nodes", "edges"):
-        found = candidate_pairs(rare_first(left, items), right, items, threshold)
+        found = candidate_pairs(rare_first(left, right, items), right, items, threshold)
         pairs = found if pairs is None else pairs.union(found)
     scored = (
         pairs.distinct()

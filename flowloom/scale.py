@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from flowloom.session import durable
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
-HOT_SHARE = 1 / 10_000
 SALTS = 64
+RANGES = 4096
 DIGEST_DIGITS = 4
 
 
@@ -60,11 +61,6 @@ def unit_uniform(hashed: Column, start: int) -> Column:
     return (F.conv(F.substring(hashed, start, 8), 16, 10).cast("double") + 1) / F.lit(float(2**32))
 
 
-def spread(column: Column, low: Column, high: Column, buckets: int = 4096) -> Column:
-    """Equal-width bucket number of a numeric column, non-decreasing in it."""
-    return F.floor((column - low) * F.lit(float(buckets)) / (high - low + F.lit(1.0))).cast("long")
-
-
 def sorted_rank(
     df: DataFrame,
     order: Sequence[Column],
@@ -92,37 +88,46 @@ def sorted_rank(
     )
 
 
+def with_ranges(df: DataFrame, column: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """Add a range number that never decreases along a numeric column; ranges hold about equally many rows.
+
+    The edges come from a quantile sketch, so that outliers don't push all other rows into one range.
+    """
+    found = df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)
+    edges = sorted(set(found))
+    if not edges:
+        return df.withColumn(name, F.lit(0))
+    splits = [float("-inf"), *edges, float("inf")]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+
+
 def rank_by_number(df: DataFrame, column: str, within: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """`sorted_rank` by a unique numeric column, in buckets of equal width."""
-    ends = F.struct(F.min(column).alias("low"), F.max(column).alias("high"))
-    bounds = df.agg(ends.alias("b")).scalar()
-    return sorted_rank(df, [F.col(column)], spread(F.col(column), bounds["low"], bounds["high"]), within, name)
+    """`sorted_rank` by a unique numeric column, in ranges of about equally many rows."""
+    ranged = with_ranges(df, column, "_range")
+    return sorted_rank(ranged, [F.col(column)], F.col("_range"), within, name).drop("_range")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, counts: str | None = None) -> DataFrame:
-    """Keys with more than `max(hot_rows, HOT_SHARE * all rows)` rows, so at most `1 / HOT_SHARE` of them.
+    """(keys, _n) of the keys with more than `hot_rows` rows, so at most one per `hot_rows` rows of the table.
 
     `counts` names a column of row counts when `df` is already aggregated.
     """
     weight = F.sum(counts) if counts else F.count(F.lit(1))
-    sizes = df.groupBy(*keys).agg(weight.alias("_n"))
-    total = sizes.agg(F.sum("_n").cast("double").alias("t")).scalar()
-    return sizes.filter(F.col("_n") > F.greatest(F.lit(float(hot_rows)), total * F.lit(HOT_SHARE))).select(*keys)
+    return df.groupBy(*keys).agg(weight.alias("_n")).filter(F.col("_n") > hot_rows)
 
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys, the hot keys); the last two are None if no key is hot.
+    """(rows of ordinary keys, rows of hot keys, the hot keys with their counts `_n`).
 
-    Rows with a null key count as ordinary.
+    The last two are None if no key is hot. The hot keys are broadcast only while they are few. Rows with a null key
+    count as ordinary.
     """
     keys = list(keys)
-    found = hot_keys(df, keys, hot_rows).dropna(subset=[quoted(k) for k in keys]).toArrow()
-    if found.num_rows == 0:
+    hot = small_side(hot_keys(df, keys, hot_rows).dropna(subset=[quoted(k) for k in keys]))
+    if hot.isEmpty():
         return df, None, None
-    schema = df.select(*[quoted(k) for k in keys]).schema
-    hot = F.broadcast(df.sparkSession.createDataFrame(found, schema=schema))
     columns = [quoted(name) for name in df.columns]
     return df.join(hot, keys, "left_anti").select(*columns), df.join(hot, keys, "left_semi").select(*columns), hot
 
@@ -134,26 +139,28 @@ def skew_join(
     how: str = "left",
     salt_by: Column | None = None,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many rows to one row per key; hot keys of `left` are salted and their `right` rows replicated.
 
-    The list of hot keys is bounded by `hot_keys`. Without any hot key this is a plain join.
+    A hot key gets `salts` parts; by default as many as it has times `hot_rows` rows, so that a part stays that size
+    however hot the key is. Without any hot key this is a plain join.
     """
     keys = list(keys)
     _, _, hot = split_hot(left, keys, hot_rows)
     if hot is None:
         return left.join(right, keys, how)
-    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    parts = F.lit(salts) if salts is not None else F.ceil(F.col("_n") / hot_rows)
+    flagged = hot.select(*[c(k) for k in keys], parts.cast("int").alias("_parts"))
     part = salt_by if salt_by is not None else F.xxhash64(*[c(name) for name in left.columns])
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    parts = F.coalesce("_parts", F.lit(1))
     salted_left = (
         left.join(flagged, keys, "left")
-        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(part), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(part), parts).cast("int"))
+        .drop("_parts")
     )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    copies = F.explode(F.sequence(F.lit(0), parts - 1))
+    salted_right = right.join(flagged, keys, "left").withColumn("_salt", copies).drop("_parts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 

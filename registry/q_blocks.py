@@ -148,10 +148,15 @@ def column_block_rows(spark, sf_dir):
     ),
 )
 def label_block_matrix(spark, sf_dir):
-    df, _ = block_rows(spark, sf_dir)
-    matrix = blocks.label_block_matrix(df)
-    ids = sorted((n for n in matrix.columns if n != "label"), key=int)
-    return matrix.select("label", F.concat_ws(",", *[c(n).cast("string") for n in ids]).alias("counts"))
+    df, found = block_rows(spark, sf_dir)
+    ids = [row["block_id"] for row in found.orderBy("block_id").select("block_id").collect()]  # one row per block
+    matrix = blocks.label_block_matrix(df, ids)
+    return matrix.select("label", F.concat_ws(",", *[c(str(n)).cast("string") for n in ids]).alias("counts"))
+
+
+@query("label_block_counts", views("select label, block_id, count(*) as n from r group by 1, 2"))
+def label_block_counts(spark, sf_dir):
+    return blocks.label_block_counts(block_rows(spark, sf_dir)[0])
 
 
 @query(

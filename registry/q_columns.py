@@ -9,11 +9,16 @@ from flowloom.scale import c
 from flowloom.sources import pdml
 from flowloom.sources.tables import label_from_path as path_label
 from registry.core import query
-from registry.fixtures import FIELDS, LABELS, SPLIT, packets, table, with_views
+from registry.fixtures import FIELDS, SPLIT, packets, table, with_views
 
 COUNTED = ["packet_id", *FIELDS]
 
 
+def label_names(df) -> list[str]:
+    """The labels that occur, one row each."""
+    return [row["label"] for row in df.select("label").distinct().orderBy("label").collect()]
+
+
 @query(
     "label_from_path",
     """with p as (select page_id, regexp_replace(url, '[?#].*$', '') as path from pages),
@@ -96,7 +101,7 @@ def align_schema(spark, sf_dir):
 )
 def consolidate(spark, sf_dir):
     df = packets(spark, sf_dir)
-    sources = {f"{name}_1": df.filter(F.col("label") == name).drop("label") for name in LABELS}
+    sources = {f"{name}_1": df.filter(F.col("label") == name).drop("label") for name in label_names(df)}
     return columns.consolidate(sources, "packet_id")
 
 
@@ -120,11 +125,47 @@ def union_by_name(spark, sf_dir):
             name: df.filter(F.col("label") == name).select(
                 "packet_id", c("ip.len"), *[c(n) for n in extra.get(name, [])]
             )
-            for name in LABELS
+            for name in label_names(df)
         }
     )
 
 
+@query("row_count", with_views("select label, count(*) as n from packets group by label", "packets"))
+def row_count(spark, sf_dir):
+    """Rows per label, each counted by the operator; there are a handful of labels."""
+    df = packets(spark, sf_dir)
+    counts = [(name, columns.row_count(df, F.col("label") == name)) for name in label_names(df)]
+    return spark.createDataFrame(counts, "label string, n bigint")
+
+
+@query(
+    "keep_prefix_columns",
+    with_views(
+        "select packet_id, " + ", ".join(f'"{n}"' for n in FIELDS if n.startswith(("tcp.", "tls."))) + " from packets",
+        "packets",
+    ),
+)
+def keep_prefix_columns(spark, sf_dir):
+    return columns.keep_prefix_columns(packets(spark, sf_dir), ["tcp.", "tls."], ["packet_id"])
+
+
+@query(
+    "tcp_only",
+    with_views(
+        "select packet_id, label from packets where packet_id % 3 <> 0 and ("
+        + " or ".join(f'"{n}" is not null' for n in FIELDS if n.startswith("tcp."))
+        + ")",
+        "packets",
+    ),
+)
+def tcp_only(spark, sf_dir):
+    """Every third packet loses its tcp fields first, so that some packets go."""
+    df = packets(spark, sf_dir)
+    bare = F.col("packet_id") % 3 == 0
+    cut = [F.when(~bare, c(n)).alias(n) if n.startswith("tcp.") else c(n) for n in df.columns]
+    return columns.tcp_only(df.select(*cut)).select("packet_id", "label")
+
+
 _UPPER = [n for n in FIELDS if n.startswith(columns.UPPER_PREFIXES)]
 _UPPER_SQL = " or ".join(f"coalesce(\"{n}\" not in ('0', ''), false)" for n in _UPPER)
 

@@ -151,14 +151,19 @@ def pool_vectors_max(spark, sf_dir):
     return pooled(ops.pool_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding", DIM, "max"))
 
 
+@query("pool_vectors_mean", vectors_sql("avg(x)"))
+def pool_vectors_mean(spark, sf_dir):
+    return pooled(ops.pool_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding", DIM, "mean"))
+
+
 @query(
-    "pool_vectors_mean",
+    "pool_vectors_first_n",
     vectors_sql(
         "avg(x)",
         "(select * from v qualify row_number() over (partition by label, dim order by vec_id) <= 16)",
     ),
 )
-def pool_vectors_mean(spark, sf_dir):
+def pool_vectors_first_n(spark, sf_dir):
     return pooled(
         ops.pool_vectors(
             table(spark, sf_dir, "embeddings"), "label", "embedding", DIM, "mean", first_n=16, order_by="vec_id"

@@ -120,3 +120,20 @@ def test_tiny_values_spread_over_buckets(spark):
     buckets = [r[0] for r in signed.orderBy("x").select(scale.magnitude_bucket(F.col("x"))).collect()]
     assert buckets == sorted(buckets) and len(set(buckets)) == 6
     assert scale.exact_medians(values, ["x"]).first()["median"] == pytest.approx(2000.5 * 2.5e-7)
+
+
+def test_ranges_are_even_despite_an_outlier(spark):
+    df = spark.range(10_000).select(F.when(F.col("id") == 0, -(10**15)).otherwise(10**12 + F.col("id")).alias("x"))
+    sizes = [r["count"] for r in scale.with_ranges(df, "x", "range", 100).groupBy("range").count().collect()]
+    assert max(sizes) <= 300
+    assert scale.rank_by_number(df, "x").filter(F.col("rank") == 1).first()["x"] == -(10**15)
+    assert scale.rank_by_number(df.limit(0), "x").count() == 0
+
+
+def test_parts_of_a_hot_key_follow_its_rows(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.createDataFrame([(0, "v")], "k bigint, v string")
+    joined = scale.skew_join(df, right, ["k"], salt_by=F.col("id"), hot_rows=100)
+    assert joined.filter("v = 'v'").count() == 2000 and joined.count() == 3000
+    sizes = scale.hot_keys(df, ["k"], 100).collect()
+    assert [(r["k"], r["_n"]) for r in sizes] == [(0, 2000)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import fresh, quoted, slices, summed, unit_hash
+from flowloom.llm.common import fresh, quoted, returns_memory, slices, summed, unit_hash
 from flowloom.llm.learn import FTRL, softmax, temperature
 from flowloom.llm.text import char_grams, letters
 
@@ -74,6 +74,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return sums[:SLOTS], int(sums[SLOTS])
 
 
+@returns_memory
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from the rows of `docs`, all of which are training rows.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import fresh, quoted, slices, unit_hash
+from flowloom.llm.common import fresh, quoted, returns_memory, slices, unit_hash
 from flowloom.llm.learn import FTRL
 from flowloom.llm.text import normalized, words_of
 
@@ -68,6 +68,7 @@ def hashes_of_terms(line: str) -> list[np.ndarray]:
     return [np.unique(features_of(pa.array([term]))[0]) for term in line.split()]
 
 
+@returns_memory
 def fit(
     docs: DataFrame,
     labels: DataFrame,

@@ -183,6 +183,23 @@ def test_leaks(spark):
     assert leaks.flag(docs, bench.limit(0)).filter("contaminated").count() == 0 and leaks.flag(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    draw = np.random.default_rng(4)
+    chance = 1 / np.arange(10, 4010)
+    texts = [[f"v{x}" for x in draw.choice(4000, n, p=chance / chance.sum())] for n in draw.integers(15, 60, 1000)]
+    docs = []
+    for i in draw.permutation(1000)[:60]:
+        own = [w if len(docs) % 2 or j % 5 else f"syn{j}" for j, w in enumerate(texts[i])]
+        before, after = ([f"v{x}" for x in draw.choice(4000, n, p=chance / chance.sum())] for n in draw.integers(0, 60, 2))
+        docs.append(" ".join([*before, *own, *after]))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    out = by_id(leaks.flag(docs_of(spark, docs), bench))
+    hashed = [leaks.words_of(pa.array([" ".join(t)]))[0] for t in texts]
+    expected = {(d, i) for d, t in enumerate(docs) for w in [leaks.words_of(pa.array([t]))[0]] for i, item in enumerate(hashed) if np.isin(item, w).mean() >= 0.5 and leaks.is_leak(item, w)[0]}
+    got = {(d, i) for d, r in out.items() for i in r["items"]}
+    assert len(expected) >= 60 and len(got & expected) >= 0.9 * len(expected) and got <= expected
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [([1, 2, 3], [1, 9, 2, 3], 3), ([1, 1, 2], [2, 1, 1], 2), ([1], [], 0), ([4, 3, 2, 1], [1, 2, 3, 4], 1)])
 def test_subsequence(a, b, n):
     assert leaks.common_subsequence(np.array(a, np.uint64), np.array(b, np.uint64)) == n

@@ -200,6 +200,22 @@ def test_leaks_of_a_large_benchmark(spark):
     assert len(expected) >= 60 and len(got & expected) >= 0.9 * len(expected) and got <= expected
 
 
+def test_leaks_of_short_items(spark):
+    draw = np.random.default_rng(6)
+    chance = 1 / np.arange(10, 1010)
+    prose = lambda n: [f"v{x}" for x in draw.choice(1000, n, p=chance / chance.sum())]
+    texts = [prose(n) for n in range(1, 16) for _ in range(8)]
+    docs = [" ".join([*prose(200), *t, *prose(200)]) for t in texts]
+    docs.append(" ".join([*texts[24][:-1], "else", texts[24][-1]]))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, texts[30]])], "item_id long, text string")
+    out = by_id(leaks.flag(docs_of(spark, docs), bench))
+    got = {(d, i) for d, r in out.items() for i in r["items"]}
+    assert {(i, i) for i in range(120)} <= got and (30, 120) in got
+    # items under SHORT words are found where they occur whole, and nowhere else
+    whole = {(d, i) for d, doc in enumerate(docs) for i, t in enumerate(texts) if len(t) < leaks.SHORT and f" {' '.join(t)} " in f" {doc} "}
+    assert {(d, i) for d, i in got if i < 120 and len(texts[i]) < leaks.SHORT} == whole
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [([1, 2, 3], [1, 9, 2, 3], 3), ([1, 1, 2], [2, 1, 1], 2), ([1], [], 0), ([4, 3, 2, 1], [1, 2, 3, 4], 1)])
 def test_subsequence(a, b, n):
     assert leaks.common_subsequence(np.array(a, np.uint64), np.array(b, np.uint64)) == n

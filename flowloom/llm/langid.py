@@ -24,7 +24,7 @@ from flowloom.llm.text import char_grams, letters
 SLOTS = 1 << 13
 ORDERS = (1, 2, 3)
 #: Bound of the labelled rows the weights are fitted on; document frequencies cover every training row.
-FIT_ROWS = 3_000
+FIT_ROWS = 6_000
 CALIBRATION_SHARE = 0.2
 EPOCHS = 2
 

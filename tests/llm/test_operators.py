@@ -58,6 +58,10 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), base).count() == 0
 
 
+def test_fits_take_their_full_samples():
+    assert (langid.FIT_ROWS, toxicity.FIT_TOXIC, toxicity.FIT_CLEAN) == (6_000, 1_500, 3_000)
+
+
 def test_identity_swaps_shrink_their_weight():
     def row(words, y):
         found, _, size = toxicity.features_of(pa.array([words]))

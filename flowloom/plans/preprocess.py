@@ -13,7 +13,8 @@ from flowloom.operators.columns import fields_of
 from flowloom.operators.flows import add_stream_id
 from flowloom.operators.sampling import split_flows_by_length
 from flowloom.scale import c
-from flowloom.sources.pdml import field_names, read_pdml, widen
+from flowloom.session import durable
+from flowloom.sources.pdml import field_names, packets_of, read_outcomes, rejects_of, widen
 from flowloom.sources.tables import consolidate_csvs, discover_files, is_finished, label_from_path, write_table
 
 SPLITS = ("train", "validation", "test")
@@ -36,10 +37,12 @@ def dissection_to_packets(spark: SparkSession, root: str, out: str, force: bool
     """Dissection files below `root` to one labelled wide table at `out`, skipped if it is already there.
 
     The label is a file's folder, or its name up to the first underscore for files directly in `root`.
+    Packets that can't be used go to the table `out`_rejects (path, raw, reason).
     """
     if force or not is_finished(spark, out):
-        maps = read_pdml(spark, root + "/*")
-        labelled = maps.withColumn("label", label_from_path(F.col("path"), root))
+        outcomes = durable(read_outcomes(spark, root + "/*"))
+        write_table(rejects_of(outcomes), out.rstrip("/") + "_rejects", force=True)
+        labelled = packets_of(outcomes).withColumn("label", label_from_path(F.col("path"), root))
         names = [n for n in field_names(labelled) if n != "label"]
         write_table(widen(labelled, names, keep=["label"]), out, ["label"], force=True)
     return spark.read.parquet(out)

@@ -49,6 +49,19 @@ def test_read_pdml(spark, pdml_dir):
     assert got["5"]["ip.esc"] == "a&b"
 
 
+def test_broken_packets_are_rejects(spark, tmp_path):
+    (tmp_path / "in" / "web").mkdir(parents=True)
+    (tmp_path / "in" / "web" / "a.xml").write_text(PDML.replace("</pdml>\n", '<packet><proto name="ip"><field na'))
+    outcomes = pdml.read_outcomes(spark, str(tmp_path / "in" / "web"))
+    rejects = pdml.rejects_of(outcomes).collect()
+    assert len(rejects) == 2 and pdml.packets_of(outcomes).count() == 5
+    assert all(r.path.endswith("a.xml") and "<packet>" in r.raw and r.reason.startswith("not well-formed") for r in rejects)
+    out = str(tmp_path / "packets")
+    assert preprocess.dissection_to_packets(spark, str(tmp_path / "in"), out).count() == 5
+    assert spark.read.parquet(out + "_rejects").count() == 2
+    assert [pdml.packet_outcome(x) for x in (None, "x", "</pdml>\n")] == [(None, "no text"), (None, "no packet"), (None, None)]
+
+
 def test_packet_fields_of_bad_text():
     assert pdml.packet_fields(None) is None
     assert pdml.packet_fields("no packet here") is None

@@ -65,7 +65,26 @@ def values_of(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def hashes_of_terms(line: str) -> list[np.ndarray]:
-    return [np.unique(features_of(pa.array([term]))[0]) for term in line.split()]
+    """For each term its features, the whole word first."""
+    return [features_of(pa.array([term]))[0] for term in line.split()]
+
+
+def swap_ways(groups: list[list[np.ndarray]]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """By the hash of each whole term, what a swap with another of any of its groups takes away and brings."""
+    ways: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for group in groups:
+        for term in group:
+            ways.setdefault(int(term[0]), []).extend((np.setdiff1d(term, o), np.setdiff1d(o, term)) for o in group if o is not term)
+    return {term: found for term, found in ways.items() if found}
+
+
+def swap_change(found: np.ndarray, n: np.ndarray, size: int, times: int, lost: np.ndarray, won: np.ndarray) -> np.ndarray:
+    """What the swap of a term that occurs `times` times takes from the values of the features `lost` and `won`."""
+    both = np.concatenate([lost, won])
+    at = np.minimum(np.searchsorted(found, both), len(found) - 1)
+    before = np.where(found[at] == both, n[at], 0)
+    after = np.maximum(before + np.repeat([-times, times], [len(lost), len(won)]), 0)
+    return (values_of(before, np.full(len(both), size)) - values_of(after, np.full(len(both), size))).ravel()
 
 
 @returns_memory
@@ -120,26 +139,26 @@ def _train(examples: list[tuple], groups: list[list[np.ndarray]], odds: float) -
     often = np.flatnonzero(counts >= 3)
     often = often[np.argsort(-counts[often], kind="stable")[:FIT_FEATURES]]
     features = np.unique(np.concatenate([seen[often], *[term for group in groups for term in group]]))
-    # per term, what a swap with another of its group takes away and brings
-    swaps = {int(term[-1]): [(np.setdiff1d(term, o), np.setdiff1d(o, term)) for o in group if o is not term] for group in groups for term in group}
+    swaps = swap_ways(groups)
     model, draw = FTRL(2 * len(features), 2, alpha=0.1, l1=4.0, l2=0.1), np.random.default_rng(0)
     rows = []
     for found, n, size, y in examples:
         at = np.minimum(np.searchsorted(features, found), len(features) - 1)
         hit = features[at] == found
         slots = (2 * at[hit][:, None] + np.arange(2)).ravel().astype(np.int32)
-        named = [w for term, w in swaps.items() if w and (i := np.searchsorted(found, np.uint64(term))) < len(found) and int(found[i]) == term]
+        named = [(w, int(n[i])) for term, w in swaps.items() if (i := np.searchsorted(found, np.uint64(term))) < len(found) and int(found[i]) == term]
         rows.append((slots, values_of(n[hit], np.full(hit.sum(), size)).ravel().astype(np.float32), y, named))
     for _ in range(EPOCHS):
         for i in draw.permutation(len(rows)):
             slots, values, y, named = rows[i]
             model.fit_row(slots, values, y)
-            for ways in named:
+            for ways, times in named:
                 lost, won = ways[draw.integers(len(ways))]
+                found, n, size, _ = examples[i]
+                change = swap_change(found, n, size, times, lost, won)
                 at = np.searchsorted(features, np.concatenate([lost, won]))
-                sign = np.repeat(np.concatenate([np.ones(len(lost)), -np.ones(len(won))]), 2)
                 pair = (2 * at[:, None] + np.arange(2)).ravel()
-                model.push(pair, 2 * SWAP_WEIGHT * sign[:, None] * (sign @ model.weights(pair))[None, :])
+                model.push(pair, 2 * SWAP_WEIGHT * change[:, None] * (change @ model.weights(pair))[None, :])
     weights, intercepts = model.dense()
     slope, intercept = (weights[:, 1] - weights[:, 0]).reshape(-1, 2), intercepts[1] - intercepts[0]
     used = np.flatnonzero(slope.any(axis=1))

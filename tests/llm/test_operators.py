@@ -80,6 +80,19 @@ def test_identity_swaps_shrink_their_weight():
     assert gap[1] < gap[0]
 
 
+def test_swaps_are_keyed_by_whole_words():
+    ways = toxicity.swap_ways([toxicity.hashes_of_terms(line) for line in toxicity.IDENTITY_TERMS])
+    whole = lambda word: int(toxicity.words_of(pa.array([word]))[0][0])
+    terms = {word for line in toxicity.IDENTITY_TERMS for word in line.split()}
+    assert set(ways) == {whole(word) for word in terms} and not {whole("turkey"), whole("blacken")} & set(ways)
+    # muslim is on the English and on the German line
+    assert len(ways[whole("christian")]) == 5 and len(ways[whole("muslim")]) == 7
+    found, n = np.unique(toxicity.features_of(pa.array(["a man saw a man"]))[0], return_counts=True)
+    man, boy = (toxicity.hashes_of_terms(word)[0] for word in ("man", "boy"))
+    change = toxicity.swap_change(found, n, 5, 2, man, boy)
+    assert np.allclose(change, [np.log(3), 3.0, -np.log(3), -3.0])
+
+
 def naive_links(texts):
     sets = []
     for t in texts:

@@ -217,6 +217,13 @@ def test_leaks_of_a_large_benchmark(spark):
     assert len(expected) >= 60 and len(got & expected) >= 0.9 * len(expected) and got <= expected
 
 
+def test_sample_is_drawn_in_the_tables_own_tasks(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(leaks, "saved", lambda df, purpose: plans.append(df._jdf.queryExecution().toString()) or df)
+    leaks.fit_rows(docs_of(spark, [EN] * 9), 9, "text", "doc_id")
+    assert "Coalesce" not in plans[0] and "Exchange RoundRobin" in plans[0]
+
+
 def test_leaks_of_short_items(spark):
     draw = np.random.default_rng(6)
     chance = 1 / np.arange(10, 1010)

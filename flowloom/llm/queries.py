@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, toxicity, urls, warc
+from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, packing, toxicity, urls, warc
 from flowloom.llm.common import table
 from flowloom.llm.langid import held_out
 
@@ -93,6 +94,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 _REST = "case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end"
 _RULES = ", ".join(f"('{r}', '{v}')" for r, v in urls.RULES)
 _HOSTS = ", ".join(f"('{h}')" for h in urls.BLOCKED_HOSTS)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, packing, toxicity, urls, warc
+from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, packing, toxicity, urls, warc, whitening
 from flowloom.llm.common import table
 from flowloom.llm.langid import held_out
 
@@ -94,6 +94,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 @query
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -133,6 +133,7 @@ def refined(matrix: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarra
     for turn in range(rounds):
         r = one - x.T @ x
         s = x.T @ a @ x
+        r, s = (r + r.T) / 2, (s + s.T) / 2
         d = np.diag(s) / (1 - np.diag(r))
         order = np.argsort(d, kind="stable")
         x, d, r, s = x[:, order], d[order], r[np.ix_(order, order)], s[np.ix_(order, order)]
@@ -149,13 +150,15 @@ def refined(matrix: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarra
             part = x[:, own]
             middle = d[own].mean()
             inner = part.T @ (a @ part - middle * part)
-            # metric of the part, so that vectors which aren't quite orthogonal don't bend the sub-problem
             inner = (inner + inner.T) / 2
             spread = np.abs(inner).max()
             if spread == 0:
                 continue
             _, turn_by = np.linalg.eigh((inner / spread).astype(np.float64))
             x[:, own] = part @ turn_by.astype(np.longdouble)
+    for _ in range(2):
+        # close eigenvalues divide rounding errors by their gap; this makes the vectors orthogonal again
+        x = x + x @ (one - x.T @ x) / 2
     d = np.array([(x[:, j] @ (a @ x[:, j])) / (x[:, j] @ x[:, j]) for j in range(size)], dtype=np.longdouble) * scale
     x = x / np.sqrt((x * x).sum(axis=0))
     order = np.argsort(-d, kind="stable")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, packing, toxicity, urls, warc, whitening
+from flowloom.llm import embeddings, importance, jaccard, langid, leaks, licenses, mixing, negatives, packing, toxicity, urls, warc, whitening
 from flowloom.llm.common import table
 from flowloom.llm.langid import held_out
 
@@ -94,6 +94,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", turned), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
@@ -171,6 +177,25 @@ counts as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
 from embeddings left join counts on a = vec_id left join components on node = vec_id"""
 
+ORACLES["op11_hard_negatives"] = """
+with valid as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding::double[], lambda x: floor(256 * x)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.id as anchor_id, b.id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from valid a join valid b on a.id <> b.id and len(a.v) = len(b.v) where a.id % 50 = 0),
+positives as (
+  select anchor_id, other as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other)::int as rank,
+  other as negative_id, positive_score, score as negative_score
+from positives p join scored s on p.anchor_id = s.anchor_id and not same
+  and 100 * score >= 50 * positive_score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, other) <= 3"""
+
 #: Sets of shingles of five words as the join takes them, for SQL.
 _SETS = r"""
 words as (select doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null),

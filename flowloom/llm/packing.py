@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for part in slices(batches, "t", 4 << 20, 4096):
+        for part in slices(batches, "t", 8 << 20, 16384):
             ids, offsets = own.encode(part.column(1))
             # the closing ids
             offsets = offsets + np.arange(len(offsets))

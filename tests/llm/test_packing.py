@@ -50,7 +50,7 @@ def test_memory_of_the_encoder_is_bounded(monkeypatch):
         texts = [f"some words {k} and {i} more." for i in range(6)]
         ids, offsets = own.encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(t) for t in texts]
-        assert len(own.known) <= 10 + 20
+        assert len(own.chunks[0]) <= 10 + 40 and len(own.pieces) <= 20 + 40
 
 
 @settings(max_examples=60, deadline=None)

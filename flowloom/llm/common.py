@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from flowloom.session import ensure_checkpoint_dir
 
-#: Rows of a narrow table (a few numbers each) that may be broadcast, about 100 MB as a hash table.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a table may take in memory to be broadcast, and what a row takes there besides its values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 48
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow table with a broadcast hint if it was counted to be small; else as it is, for a shuffled join.
+def narrow(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A narrow table with a broadcast hint if it was measured to be small; else as it is, for a shuffled join.
 
-    Give a saved or cheap table, since it is counted here.
+    Give a saved or cheap table, since it is counted here, texts by their length. No more rows are looked at than fit.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    flat = {"string", "binary"}
+    texts = [f.name for f in df.schema if f.dataType.typeName() in flat]
+    fixed = ROW_BYTES + 16 * len(df.columns)
+    rows = limit // fixed
+    length = sum((F.coalesce(F.octet_length(F.col(quoted(n))), F.lit(0)) for n in texts), F.lit(0)).cast("long")
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("b")).first()
+    return F.broadcast(df) if found["n"] * fixed + (found["b"] or 0) <= limit else df
 
 
 def unit_hash(*parts: Column | str | int) -> Column:

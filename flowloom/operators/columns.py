@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.scale import c, quoted, rank_by_number, small_side
+from flowloom.session import stored
 
 META = ("index", "label", "label_id")
 LAYER_PREFIXES = ("eth.", "ip.", "tcp.", "tls.")
@@ -106,9 +107,10 @@ def consolidate(frames: Mapping[str, DataFrame], order_by: str, prefixes: Sequen
             )
         )
     merged = union_by_name(parts)
-    # rows per source are offsets for the ranks inside each source
-    ranked = rank_by_number(merged, "_order", within=["_source"], name="_rank")
-    sizes = merged.groupBy("_source").agg(F.count(F.lit(1)).alias("_size"))
+    # ranges and offsets come from a stored table of the row orders alone
+    orders = stored(merged.select("_source", "_order"), "orders")
+    ranked = rank_by_number(merged, "_order", within=["_source"], name="_rank", keys=orders)
+    sizes = orders.groupBy("_source").agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select("_source", F.col("_size")).toArrow().to_pylist()
     sizes_by_source = {row["_source"]: row["_size"] for row in starts}
     shift, total = F.lit(0), 0

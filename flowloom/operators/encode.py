@@ -8,9 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalars import hex_to_long, log_scale, norm_hex, octets, port_bin, tsval, unit_noise
-from flowloom.operators.flows import factorize
-from flowloom.scale import BROADCAST_ROWS, c, digest, skew_join, small_side, sorted_rank, unit_uniform
-from flowloom.session import durable
+from flowloom.operators.flows import factorize, first_rows
+from flowloom.scale import (
+    BROADCAST_ROWS,
+    FEW_KEYS,
+    c,
+    digest,
+    rank_by_number,
+    skew_join,
+    small_side,
+    sorted_rank,
+    unit_uniform,
+)
+from flowloom.session import durable, stored
 
 OOV = "__OOV__"
 PORT_FIELDS = ("tcp.srcport", "tcp.dstport")
@@ -22,17 +32,22 @@ def build_vocab(df: DataFrame, fields: Sequence[str], variant: str = "v2") -> Da
     """(field, value, id) of the distinct normalised values per field, in value order.
 
     `v1` counts from 0 and gives unknown values the last id; `v2` counts from 1 and gives them 0. A field of the table
-    without any value has only the row for unknown values. Values are made distinct before they are ranked, and
-    ranked in ranges whose edges Spark samples from them, so neither a field with many values nor a common beginning
-    of its values is sorted in one task.
+    without any value has only the row for unknown values. Values are made distinct and stored before they are ranked.
+    More than a few thousand are ranked in ranges whose edges Spark samples from them, so neither a field with many
+    values nor a common beginning of its values is sorted in one task.
     """
     present = [name for name in fields if name in df.columns]
     pairs = F.array(*[F.struct(F.lit(n).alias("field"), norm_hex(c(n), OOV).alias("value")) for n in present])
     values = df.select(F.explode(pairs).alias("p")).select("p.*").distinct().filter(F.col("value") != OOV.lower())
     first = 0 if variant == "v1" else 1
-    # written down, since sampled edges may differ when they are computed again
-    values = durable(values.repartitionByRange("field", "value").withColumn("_range", F.spark_partition_id()))
-    ranked = sorted_rank(values, [F.col("value")], F.col("_range"), within=["field"], name="_rank")
+    values = stored(values, "values")
+    if values.count() <= FEW_KEYS:
+        in_field = F.row_number().over(Window.partitionBy("field").orderBy("value"))
+        ranked = values.withColumn("_rank", in_field.cast("long"))
+    else:
+        # written down again, since sampled edges may differ when they are computed anew
+        values = stored(values.repartitionByRange("field", "value").withColumn("_range", F.spark_partition_id()), "values")
+        ranked = sorted_rank(values, [F.col("value")], F.col("_range"), within=["field"], name="_rank")
     ids = ranked.select("field", "value", (F.col("_rank") - 1 + first).alias("id"))
     sizes = values.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
     names = df.sparkSession.createDataFrame([(n,) for n in present], "field string")
@@ -153,12 +168,14 @@ def normal_noise(hashed: Column) -> Column:
 
 def integer_code(df: DataFrame, column: str, order_by: str, out: str = "code", empty: str = "[]") -> DataFrame:
     """Codes from 0 by first appearance; the empty list text is -1."""
-    real = df.filter(F.coalesce(c(column) != empty, F.lit(True)))
-    codes = factorize(real, column, order_by, "_code")
     text = F.coalesce(c(column).cast("string"), F.lit("\u0000null"))
-    keyed = df.withColumn("_v", text)
-    lookup = codes.select(text.alias("_v"), "_code")
-    joined = skew_join(keyed, lookup, ["_v"], salt_by=c(order_by))
+    first = first_rows(df, text, "_v", order_by)
+    real = first.filter(F.col("_v") != empty)
+    ranked = rank_by_number(real, "_first", name="_rank", keys=real)
+    codes = ranked.select("_v", (F.col("_rank") - 1).alias("_code"), "_rows").unionByName(
+        first.filter(F.col("_v") == empty).select("_v", F.lit(-1).cast("long").alias("_code"), "_rows")
+    )
+    joined = skew_join(df.withColumn("_v", text), codes, ["_v"], salt_by=c(order_by), counts="_rows")
     return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("long")).drop("_v", "_code")
 
 

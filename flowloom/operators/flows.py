@@ -21,14 +21,15 @@ from flowloom.scale import (
     split_hot,
     top_per_group,
 )
-from flowloom.session import durable
+from flowloom.session import durable, stored
 
+# fixed values: column and feature names of the packet tables
 FIVE_TUPLE = ("ip.src", "ip.dst", "tcp.srcport", "tcp.dstport", "ip.proto")
 TIME_COLUMNS = ("tcp.options.timestamp", "frame.time_relative", "frame.time_epoch")
 LARGE_PACKET = 1400
 EPSILON = 1e-6
-TICKS_PER_CHUNK = 1 << 20
-SECONDS_PER_CHUNK = 1 << 10
+#: Chunks that a hot flow is cut into at once, by quantiles (a power of two), and the sketch's accuracy.
+CHUNKS, ACCURACY = 256, 10_000
 LENGTH_FEATURES = ("flow_avg_len", "flow_std_len", "flow_pkt_count", "flow_large_pkt_ratio")
 TIME_FEATURES = ("flow_avg_iat", "flow_std_iat", "flow_max_iat", "flow_duration_per_pkt")
 CLOSED_WORLD_FEATURES = ("flow_avg_len", "flow_std_len", "flow_pkt_count")
@@ -48,18 +49,27 @@ def stream_key(df: DataFrame) -> Column:
     return F.concat_ws("|", proto, F.least(here, there), F.greatest(here, there))
 
 
+def first_rows(df: DataFrame, key: Column, name: str, order_by: str) -> DataFrame:
+    """(name, _first, _rows) per key: least row order and rows. Stored, so that ranks and hot keys come from one scan."""
+    keyed = df.select(key.alias(name), c(order_by).alias("_order"))
+    return stored(keyed.groupBy(name).agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_rows")), "keys")
+
+
+def _numbered(first: DataFrame, code: str) -> DataFrame:
+    """`first_rows` with dense ranks from 1 in order of first appearance."""
+    return rank_by_number(first, "_first", name=code, keys=first)
+
+
 def stream_ids(df: DataFrame, order_by: str) -> DataFrame:
     """(stream_key, stream_id): dense ids from 1 in order of first appearance."""
-    first = df.select(stream_key(df).alias("stream_key"), c(order_by).alias("_order")).groupBy("stream_key").agg(
-        F.min("_order").alias("_first")
-    )
-    return rank_by_number(first, "_first", name="stream_id").select("stream_key", "stream_id")
+    return _numbered(first_rows(df, stream_key(df), "stream_key", order_by), "stream_id").select("stream_key", "stream_id")
 
 
 def add_stream_id(df: DataFrame, order_by: str, drop_tcp_stream: bool = True) -> DataFrame:
-    """Add `stream_id`; only distinct keys are ranked, and hot flows are salted in the join back."""
+    """Add `stream_id`; only distinct keys are ranked, and hot flows, known from their counts, are salted."""
     keyed = df.withColumn("stream_key", stream_key(df))
-    joined = skew_join(keyed, stream_ids(df, order_by), ["stream_key"], salt_by=c(order_by)).drop("stream_key")
+    ids = _numbered(first_rows(df, stream_key(df), "stream_key", order_by), "stream_id").drop("_first")
+    joined = skew_join(keyed, ids, ["stream_key"], salt_by=c(order_by), counts="_rows").drop("stream_key")
     return joined.drop("tcp.stream") if drop_tcp_stream and "tcp.stream" in df.columns else joined
 
 
@@ -71,8 +81,8 @@ def flow_number(column: Column) -> Column:
 
 def factorize(df: DataFrame, key: str, order_by: str, code: str) -> DataFrame:
     """(key, code): dense codes from 0 by first appearance, nulls share one code."""
-    first = df.groupBy(c(key).alias(key)).agg(F.min(c(order_by)).alias("_first"))
-    return rank_by_number(first, "_first", name="_rank").select(c(key), (F.col("_rank") - 1).alias(code))
+    ranked = _numbered(first_rows(df, c(key), key, order_by), "_rank")
+    return ranked.select(c(key), (F.col("_rank") - 1).alias(code))
 
 
 def reassembly(packets: DataFrame, frame: str, text: Column, member_list: str = "reassembled") -> DataFrame:
@@ -115,57 +125,72 @@ def packet_time(name: str) -> Column:
     return F.coalesce(c(name).try_cast("double"), F.lit(0.0))
 
 
+def _length_features() -> list[Column]:
+    return [
+        F.avg("_len").alias("flow_avg_len"),
+        F.coalesce(F.stddev_samp("_len"), F.lit(0.0)).alias("flow_std_len"),
+        F.count("_len").alias("flow_pkt_count"),
+        (F.count_if(F.col("_len") > LARGE_PACKET) / (F.count("_len") + F.lit(EPSILON))).alias("flow_large_pkt_ratio"),
+    ]
+
+
 def length_stats(df: DataFrame, flow: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Average, deviation, count and large-packet share per flow: partial sums, no skew."""
     length = hex_to_long(c("ip.len")).cast("double")
-    return (
-        df.select(*keys, flow.alias("flow"), length.alias("_len"))
-        .groupBy(*keys, "flow")
-        .agg(
-            F.avg("_len").alias("flow_avg_len"),
-            F.coalesce(F.stddev_samp("_len"), F.lit(0.0)).alias("flow_std_len"),
-            F.count("_len").alias("flow_pkt_count"),
-            (F.count_if(F.col("_len") > LARGE_PACKET) / (F.count("_len") + F.lit(EPSILON))).alias(
-                "flow_large_pkt_ratio"
-            ),
-        )
+    narrow = df.select(*keys, flow.alias("flow"), length.alias("_len"))
+    return narrow.groupBy(*keys, "flow").agg(*_length_features())
+
+
+def place_among(value: Column, edges: Column) -> Column:
+    """How many of `CHUNKS` - 1 sorted edges are below the value, by binary search."""
+    steps = F.array(*[F.lit(CHUNKS >> k) for k in range(1, CHUNKS.bit_length())])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.get(edges, at + step - 1) < value, step).otherwise(F.lit(0))
     )
 
 
-def gap_chunks(times: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
-    """Gaps between the distinct times of each key, with a long time line cut into chunks of `width`.
+def quantile_chunks(times: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Add `_chunk`, which never decreases along `t` inside a key; no chunk has more than `rows` rows.
+
+    `times` has one row per (keys, t). The edges are quantiles, from a sketch per key and, where a chunk is still too
+    large, per chunk. So a burst is cut as finely as a long time line, and bounds on neither have to be known.
+    """
+    marks = [k / CHUNKS for k in range(1, CHUNKS)]
+    by = [*keys, "_chunk"]
+    placed = times.withColumn("_chunk", F.lit(0).cast("long"))
+    while True:
+        sketch = F.percentile_approx("t", marks, ACCURACY).alias("_edges")
+        sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), sketch)
+        large = small_side(sizes.filter(F.col("_size") > rows).drop("_size"))
+        if large.isEmpty():
+            return placed
+        inside = F.coalesce(place_among(F.col("t"), F.col("_edges")), F.lit(0))
+        cut = placed.join(large, by, "left").withColumn("_chunk", F.col("_chunk") * CHUNKS + inside)
+        placed = stored(cut.select(*placed.columns), "chunks")
+
+
+def gap_chunks(times: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Gaps between the distinct times of each key, with the time line cut into chunks of at most `rows` times.
 
     `times` has one row per (keys, t). Adds `_chunk` and `gap`; the first time of a chunk has a null gap.
     """
-    chunked = times.withColumn("_chunk", F.floor(F.col("t") / F.lit(float(width))))
+    chunked = quantile_chunks(times, keys, rows)
     line = Window.partitionBy(*keys, "_chunk").orderBy("t")
     return chunked.withColumn("gap", F.col("t") - F.lag("t").over(line))
 
 
-def time_stats(
-    df: DataFrame, flow: Column, time_column: str, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Gap and duration statistics per flow; the first packet of a flow counts with gap 0.
+def _stats_by_window(timed: DataFrame, group: Sequence[str]) -> DataFrame:
+    """All features of ordinary flows from one window and one aggregate, which share their shuffle.
 
-    Ordinary flows take one window and one shuffle, hot ones are cut into chunks.
+    The first packet of a flow counts with gap 0.
     """
-    group = [*keys, "flow"]
-    timed = df.select(*keys, flow.alias("flow"), packet_time(time_column).alias("t"))
-    ordinary, hot_part, _ = split_hot(timed, group, hot_rows)
-    stats = _time_stats_by_window(ordinary, group)
-    if hot_part is None:
-        return stats
-    width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
-    return stats.unionByName(_time_stats_by_chunks(hot_part, group, width))
-
-
-def _time_stats_by_window(timed: DataFrame, group: Sequence[str]) -> DataFrame:
     line = Window.partitionBy(*group).orderBy("t")
     gap = F.coalesce(F.col("t") - F.lag("t").over(line), F.lit(0.0))
     return (
         timed.withColumn("_gap", gap)
         .groupBy(*group)
         .agg(
+            *_length_features(),
             F.avg("_gap").alias("flow_avg_iat"),
             F.coalesce(F.stddev_samp("_gap"), F.lit(0.0)).alias("flow_std_iat"),
             F.max("_gap").alias("flow_max_iat"),
@@ -174,15 +199,15 @@ def _time_stats_by_window(timed: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def _time_stats_by_chunks(timed: DataFrame, group: Sequence[str], width: float) -> DataFrame:
-    """The same for huge flows, without a window over a whole flow.
+def _time_stats_by_chunks(timed: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
+    """Gap and duration features of huge flows, without a window over a whole flow.
 
     Equal times are collapsed first (their gaps are 0), then gaps are taken inside chunks of the time line, and chunk
     moments are merged with the gaps between chunks. A window sees one chunk, or one row per chunk.
     """
-    times = timed.groupBy(*group, "t").agg(F.count(F.lit(1)).alias("_n"))
+    times = stored(timed.groupBy(*group, "t").agg(F.count(F.lit(1)).alias("_n")), "times")
     chunks = (
-        gap_chunks(times, group, width)
+        gap_chunks(times, group, rows)
         .groupBy(*group, "_chunk")
         .agg(
             F.sum("_n").alias("_n"),
@@ -222,15 +247,28 @@ def flow_stats(
     keys: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Per-flow features, keyed by `flow` (and `keys`, for example the split)."""
+    """Per-flow features, keyed by `flow` (and `keys`, for example the split).
+
+    The packets are scanned once, into a stored table of (keys, flow, length, time). Hot flows are found there; none can
+    be hot in a table of fewer rows.
+    """
     if "ip.len" not in df.columns or flow not in df.columns:
         raise KeyError(f"flow statistics need 'ip.len' and '{flow}'")
     number = flow_number(c(flow))
-    lengths = length_stats(df, number, keys)
     time_column = pick_time_column(df, time_columns)
     if time_column is None:
-        return lengths
-    return lengths.join(time_stats(df, number, time_column, keys, hot_rows), [*keys, "flow"])
+        return length_stats(df, number, keys)
+    length, time = hex_to_long(c("ip.len")).cast("double"), packet_time(time_column)
+    timed = stored(df.select(*keys, number.alias("flow"), length.alias("_len"), time.alias("t")), "timed")
+    group = [*keys, "flow"]
+    if timed.count() <= hot_rows:
+        return _stats_by_window(timed, group)
+    ordinary, hot_part, _ = split_hot(timed, group, hot_rows)
+    stats = _stats_by_window(ordinary, group)
+    if hot_part is None:
+        return stats
+    lengths = hot_part.groupBy(*group).agg(*_length_features())
+    return stats.unionByName(lengths.join(_time_stats_by_chunks(hot_part, group, hot_rows), group))
 
 
 def feature_names(stats: DataFrame) -> list[str]:
@@ -281,10 +319,14 @@ def default_values(stats: DataFrame, rule: str, keys: Sequence[str] = ()) -> Dat
 
 def attach(packets: DataFrame, stats: DataFrame, defaults: DataFrame, flow: str, row_id: str,
            keys: Sequence[str] = ()) -> DataFrame:
-    """Left join of flow features, missing flows filled with the defaults; hot flows are salted."""
+    """Left join of flow features, missing flows filled with the defaults; hot flows are salted.
+
+    `stats` is materialised; its packet counts tell the hot flows.
+    """
     names = feature_names(stats)
     numbered = packets.withColumn("flow", flow_number(c(flow)))
-    joined = skew_join(numbered, stats, [*keys, "flow"], salt_by=c(row_id))
+    counted = stats.withColumn("_rows", F.col("flow_pkt_count"))
+    joined = skew_join(numbered, counted, [*keys, "flow"], salt_by=c(row_id), counts="_rows")
     if keys:
         filled = joined.join(small_side(defaults), list(keys), "left")
     else:
@@ -323,7 +365,7 @@ def flow_features(
         stats = durable(flow_stats(source, flow, (), [split]).select(split, "flow", *CLOSED_WORLD_FEATURES))
         return attach(packets, stats, default_values(stats, "mean", [split]), flow, row_id, [split])
     if mode == "source":
-        stats = flow_stats(source, flow, time_columns)
+        stats = durable(flow_stats(source, flow, time_columns))
         return attach(packets, stats, default_values(stats, "zero"), flow, row_id)
     raise ValueError(f"unknown flow feature mode: {mode}")
 
@@ -341,62 +383,70 @@ def direction_and_gap(
     +1 if the endpoints equal those of the flow's first packet (per column the first non-null one), else -1; by
     address, else by port, else 0. The gap is the time since the flow's previous packet, 0 for the first. Ties in time
     keep table order. With `keys` (such as the split) packets of a flow count together only where these agree, so that
-    nothing of a test packet reaches the training rows. Ordinary flows take one window; hot ones are aggregated and cut into chunks instead.
+    nothing of a test packet reaches the training rows.
+
+    `row_id` is unique. Windows see a stored table of (row id, keys, flow, time, endpoints) only, and the result is joined
+    back, so that no wide row is sorted by flow or held in a window. Ordinary flows take one window; hot ones are
+    aggregated and cut into chunks instead.
     """
     time_column = pick_time_column(df, time_columns)
     pairs = (("ip.src", "ip.dst"), ("tcp.srcport", "tcp.dstport"))
     ends = next((pair for pair in pairs if set(pair) <= set(df.columns)), ())
     time = packet_time(time_column) if time_column else F.lit(0.0)
-    keyed = df.withColumn("flow", flow_number(c(flow))).withColumn("_t", time)
-    by = [*keys, "flow"]
-    ordinary, hot_part, _ = split_hot(keyed, by, hot_rows)
-    result = _context_by_window(ordinary, row_id, ends, by)
+    by = [*[f"_key{i}" for i in range(len(keys))], "_flow"]
+    narrow = stored(
+        df.select(
+            c(row_id).alias("_row"),
+            *[c(key).alias(name) for key, name in zip(keys, by, strict=False)],
+            flow_number(c(flow)).alias("_flow"),
+            time.alias("_t"),
+            *[c(name).alias(f"_end{i}") for i, name in enumerate(ends)],
+        ),
+        "context",
+    )
+    ordinary, hot_part = narrow, None
+    if narrow.count() > hot_rows:
+        ordinary, hot_part, _ = split_hot(narrow, by, hot_rows)
+    result = _context_by_window(ordinary, len(ends), by)
     if hot_part is not None:
-        width = TICKS_PER_CHUNK if time_column == "tcp.options.timestamp" else SECONDS_PER_CHUNK
-        result = result.unionByName(_context_by_chunks(hot_part, row_id, ends, width, by))
+        result = result.unionByName(_context_by_chunks(hot_part, len(ends), by, hot_rows))
     if ends:
-        same = [F.coalesce(c(n), F.lit("")) == F.coalesce(F.col(f"_first{i}"), F.lit("")) for i, n in enumerate(ends)]
+        same = [F.coalesce(f"_end{i}", F.lit("")) == F.coalesce(f"_first{i}", F.lit("")) for i in range(2)]
         sign = F.when(same[0] & same[1], F.lit(1.0)).otherwise(F.lit(-1.0))
     else:
         sign = F.lit(0.0)
-    return result.withColumn("flow_dir_sign", sign).select(
-        *[c(name) for name in df.columns],
-        "flow_dir_sign",
-        F.coalesce("_gap", F.lit(0.0)).alias("flow_iat_local"),
-    )
+    context = result.select("_row", sign.alias("flow_dir_sign"), F.coalesce("_gap", F.lit(0.0)).alias("flow_iat_local"))
+    found = df.withColumn("_row", c(row_id)).join(small_side(context), "_row", "left")
+    return found.select(*[c(name) for name in df.columns], "flow_dir_sign", "flow_iat_local")
 
 
-def _context_by_window(keyed: DataFrame, row_id: str, ends: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _context_by_window(narrow: DataFrame, ends: int, by: Sequence[str]) -> DataFrame:
     """Add `_first<i>` and `_gap` by a window per flow."""
-    line = Window.partitionBy(*[c(n) for n in by]).orderBy("_t", c(row_id))
+    line = Window.partitionBy(*by).orderBy("_t", "_row")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = {f"_first{i}": F.first(c(n), ignorenulls=True).over(whole) for i, n in enumerate(ends)}
-    return keyed.withColumns({**firsts, "_gap": F.col("_t") - F.lag("_t").over(line)})
+    firsts = {f"_first{i}": F.first(f"_end{i}", ignorenulls=True).over(whole) for i in range(ends)}
+    return narrow.withColumns({**firsts, "_gap": F.col("_t") - F.lag("_t").over(line)})
 
 
-def _context_by_chunks(
-    keyed: DataFrame, row_id: str, ends: Sequence[str], width: float, by: Sequence[str]
-) -> DataFrame:
+def _context_by_chunks(narrow: DataFrame, ends: int, by: Sequence[str], rows: int) -> DataFrame:
     """The same for few huge flows, without a window over a whole flow.
 
     First endpoints are aggregates, one broadcast row per hot flow. Only the first packet of each distinct time can
     have a gap, and that one is found by its own id.
     """
-    result = keyed
+    result = narrow
     if ends:
-        order = F.struct(F.col("_t"), c(row_id))
-        firsts = keyed.groupBy(*by).agg(
-            *[F.min_by(c(n), F.when(c(n).isNotNull(), order)).alias(f"_first{i}") for i, n in enumerate(ends)]
-        )
-        result = keyed.join(small_side(firsts), list(by))
-    times = keyed.groupBy(*by, F.col("_t").alias("t")).agg(F.min(c(row_id)).alias("_row"))
+        order = F.struct("_t", "_row")
+        firsts = [F.min_by(f"_end{i}", F.when(F.col(f"_end{i}").isNotNull(), order)).alias(f"_first{i}") for i in range(ends)]
+        result = narrow.join(small_side(narrow.groupBy(*by).agg(*firsts)), list(by))
+    times = stored(narrow.groupBy(*by, F.col("_t").alias("t")).agg(F.min("_row").alias("_at")), "times")
     chunk_end = F.max("t").over(Window.partitionBy(*by, "_chunk"))
-    gaps = gap_chunks(times, list(by), width).withColumn("_end", chunk_end)
+    gaps = gap_chunks(times, list(by), rows).withColumn("_end", chunk_end)
     # the first time of a chunk is one row per chunk; it looks back at the end of the chunk before
     line = Window.partitionBy(*by).orderBy("_chunk")
     across = gaps.filter(F.col("gap").isNull()).withColumn("gap", F.col("t") - F.lag("_end").over(line))
-    row_gaps = gaps.filter(F.col("gap").isNotNull()).unionByName(across).select("_row", F.col("gap").alias("_gap"))
-    return result.withColumn("_row", c(row_id)).join(row_gaps, "_row", "left").drop("_row")
+    row_gaps = gaps.filter(F.col("gap").isNotNull()).unionByName(across).select(F.col("_at").alias("_row"), F.col("gap").alias("_gap"))
+    return result.join(row_gaps, "_row", "left")
 
 
 def clean_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -440,20 +490,19 @@ def flow_batches(
 
     Flows come in order of first appearance, or in digest order of their id when a seed is given.
     """
-    kept = first_n(df, packets_per_flow, order_by, flow)
+    flows = first_rows(df, c(flow), flow, order_by)
+    kept = top_per_group(df, [flow], [c(order_by)], packets_per_flow, c(order_by), counts=flows)
     if seed is None:
-        flows = kept.groupBy(flow).agg(F.min(c(order_by)).alias("_first"))
-        ranked = rank_by_number(flows, "_first", name="_rank")
+        ranked = _numbered(flows, "_rank")
     else:
-        flows = kept.select(c(flow)).distinct().withColumn("_h", digest(seed, c(flow)))
-        ranked = sorted_rank(flows, [F.col("_h")], F.substring("_h", 1, 4), name="_rank")
+        hashed = flows.withColumn("_h", digest(seed, c(flow)))
+        ranked = sorted_rank(hashed, [F.col("_h")], F.substring("_h", 1, 4), name="_rank")
     batches = ranked.select(
         c(flow), F.floor((F.col("_rank") - 1) / flows_per_batch).cast("long").alias("batch_id")
     )
     if drop_last:
-        n_flows = flows.agg(F.count(F.lit(1)).alias("n")).scalar()
-        batches = batches.filter(F.col("batch_id") < F.floor(n_flows / flows_per_batch))
-    return kept.join(batches, flow)
+        batches = batches.filter(F.col("batch_id") < flows.count() // flows_per_batch)
+    return kept.join(small_side(batches), flow)
 
 
 def sampling_summary(df: DataFrame, flow: str = "stream_id", label: str = "label") -> DataFrame:

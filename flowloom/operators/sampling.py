@@ -192,8 +192,8 @@ def split_flows_by_length(
         )
 
     cuts = hash_cuts(binned, group, hashed, quota, ["_test", "_validation"])
-    assigned = _with_split(binned, cuts, group, hashed).select(label, flow, "split")
-    return skew_join(clean, assigned, [label, flow], "inner", salt_by=c(row_id))
+    assigned = _with_split(binned, cuts, group, hashed).select(label, flow, "split", F.col("n_packets").alias("_rows"))
+    return skew_join(clean, durable(assigned), [label, flow], "inner", salt_by=c(row_id), counts="_rows")
 
 
 # -- sampling of flows ------------------------------------------------------------------------------------------
@@ -270,8 +270,10 @@ def sample_flows(
         return counted.join(second, label)
 
     more = hash_cuts(rest, [label], hashed, second_quota, ["_more"]).select(label, "_more_upto")
-    chosen = drawn.join(more, label, "left").filter(F.col("_in") | within_cut(hashed, "_more")).select(label, flow)
-    return skew_join(clean, chosen, [label, flow], "inner", salt_by=c(row_id))
+    chosen = drawn.join(more, label, "left").filter(F.col("_in") | within_cut(hashed, "_more")).select(
+        label, flow, F.col("n_packets").alias("_rows")
+    )
+    return skew_join(clean, durable(chosen), [label, flow], "inner", salt_by=c(row_id), counts="_rows")
 
 
 def long_pool(flows: DataFrame, label: str, hashed: Column) -> DataFrame:

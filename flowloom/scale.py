@@ -13,13 +13,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.session import durable
+from flowloom.session import durable, stored
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
 SALTS = 64
 RANGES = 4096
+#: Keys that one window ranks; more are ranked in ranges.
+FEW_KEYS = 8192
 DIGEST_DIGITS = 4
 
 
@@ -67,15 +69,17 @@ def sorted_rank(
     bucket: Column,
     within: Sequence[str] = (),
     name: str = "rank",
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position in `order` inside each `within` group, without sorting a whole group in one task.
 
     `bucket` must not decrease along `order`. Bucket sizes are summed up to offsets, so the only window over the
-    rows themselves is one per (group, bucket).
+    rows themselves is one per (group, bucket). `sizes_of` is a cheaper table of the same rows to take the sizes from.
     """
     keys = [*within, "_bucket"]
     keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    counted = keyed if sizes_of is None else sizes_of.withColumn("_bucket", bucket)
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -88,23 +92,46 @@ def sorted_rank(
     )
 
 
-def with_ranges(df: DataFrame, column: str, name: str, ranges: int = RANGES) -> DataFrame:
+def range_edges(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
+    """Edges of ranges of a numeric column that hold about equally many rows, from a quantile sketch."""
+    return sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+
+
+def with_ranges(
+    df: DataFrame, column: str, name: str, ranges: int = RANGES, edges: Sequence[float] | None = None
+) -> DataFrame:
     """Add a range number that never decreases along a numeric column; ranges hold about equally many rows.
 
     The edges come from a quantile sketch, so that outliers don't push all other rows into one range.
     """
-    found = df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    edges = sorted(set(found))
+    edges = range_edges(df, column, ranges) if edges is None else edges
     if not edges:
         return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *edges, float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
 
 
-def rank_by_number(df: DataFrame, column: str, within: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """`sorted_rank` by a unique numeric column, in ranges of about equally many rows."""
-    ranged = with_ranges(df, column, "_range")
-    return sorted_rank(ranged, [F.col(column)], F.col("_range"), within, name).drop("_range")
+def rank_by_number(
+    df: DataFrame,
+    column: str,
+    within: Sequence[str] = (),
+    name: str = "rank",
+    keys: DataFrame | None = None,
+    few: int = FEW_KEYS,
+) -> DataFrame:
+    """Position by a unique numeric column inside each `within` group, in ranges of about equally many rows.
+
+    The sketch of the ranges, their sizes and the count read `keys`, a stored table of the same rows with `within` and
+    the column; without one `df` is stored and ranked from there. A few rows take a plain window and no sketch.
+    """
+    if keys is None:
+        df = keys = stored(df, "keys")
+    if keys.count() <= few:
+        line = Window.partitionBy(*(within or [F.lit(0)])).orderBy(column)
+        return df.withColumn(name, F.row_number().over(line).cast("long"))
+    edges = range_edges(keys, column)
+    ranged, sized = (with_ranges(table, column, "_range", edges=edges) for table in (df, keys))
+    return sorted_rank(ranged, [F.col(column)], F.col("_range"), within, name, sized).drop("_range")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, counts: str | None = None) -> DataFrame:
@@ -117,15 +144,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, count
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys, the hot keys with their counts `_n`).
 
     The last two are None if no key is hot. The hot keys are broadcast only while they are few. Rows with a null key
-    count as ordinary.
+    count as ordinary. `counts` is a materialised table (keys, `_rows`), if there is one; then `df` isn't counted.
     """
     keys = list(keys)
-    hot = small_side(hot_keys(df, keys, hot_rows).dropna(subset=[quoted(k) for k in keys]))
+    found = hot_keys(df, keys, hot_rows) if counts is None else hot_keys(counts, keys, hot_rows, "_rows")
+    hot = small_side(found.dropna(subset=[quoted(k) for k in keys]))
     if hot.isEmpty():
         return df, None, None
     columns = [quoted(name) for name in df.columns]
@@ -140,14 +168,26 @@ def skew_join(
     salt_by: Column | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int | None = None,
+    counts: str | None = None,
 ) -> DataFrame:
     """Join many rows to one row per key; hot keys of `left` are salted and their `right` rows replicated.
 
     A hot key gets `salts` parts; by default as many as it has times `hot_rows` rows, so that a part stays that size
     however hot the key is. Without any hot key this is a plain join.
+
+    `counts` names a column of `right` (dropped here) with the rows that `left` has per key. The hot keys come from it,
+    and `left` is read only once; `right` must then be materialised, and is broadcast if it is small.
     """
     keys = list(keys)
-    _, _, hot = split_hot(left, keys, hot_rows)
+    if counts is None:
+        _, _, hot = split_hot(left, keys, hot_rows)
+    else:
+        known = right.select(*[c(k) for k in keys], c(counts).alias("_rows"))
+        right = right.drop(counts)
+        local = small_rows(right)
+        if local is not None:
+            return left.join(local, keys, how)
+        _, _, hot = split_hot(left, keys, hot_rows, known)
     if hot is None:
         return left.join(right, keys, how)
     parts = F.lit(salts) if salts is not None else F.ceil(F.col("_n") / hot_rows)
@@ -172,18 +212,19 @@ def top_per_group(
     salt_by: Column,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The first `n` rows of each group.
 
     Ordinary groups take one window, which Spark limits to n rows per group before its shuffle. Hot groups are cut in
-    salted parts first, so that their survivors are few.
+    salted parts first, so that their survivors are few. `counts` as in `split_hot`.
     """
 
     def first(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*[quoted(k) for k in by]).orderBy(*order))
         return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    ordinary, hot_part, _ = split_hot(df, keys, hot_rows)
+    ordinary, hot_part, _ = split_hot(df, keys, hot_rows, counts)
     if hot_part is None:
         return first(ordinary, keys)
     salted = hot_part.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))

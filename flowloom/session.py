@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """`df` written as Parquet below the shared checkpoint folder and read again.
+
+    Later steps read only the columns they need, and a count reads no rows at all.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

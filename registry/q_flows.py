@@ -216,6 +216,22 @@ def flow_direction(spark, sf_dir):
     return out.select("packet_id", "flow_dir_sign", F.round("flow_iat_local", R).alias("flow_iat_local"))
 
 
+@query(
+    "flow_direction_per_split",
+    with_views(
+        f"""select packet_id, split, case when "ip.src" = first_value("ip.src") over w
+           and "ip.dst" = first_value("ip.dst") over w then 1.0::double else -1.0::double end as flow_dir_sign,
+           round(coalesce(t - lag(t) over w, 0)::double, {R}) as flow_iat_local
+        from (select *, {TSVAL} as t from p) window w as (partition by split, stream_id order by t, packet_id)""",
+        "packets",
+        p=SPLIT_CTE,
+    ),
+)
+def flow_direction_per_split(spark, sf_dir):
+    out = flows.direction_and_gap(with_split(spark, sf_dir), "packet_id", keys=["split"])
+    return out.select("packet_id", "split", "flow_dir_sign", F.round("flow_iat_local", R).alias("flow_iat_local"))
+
+
 MESSY = "case packet_id % 7 when 0 then 'abc' when 1 then 'NaN' when 2 then 'Infinity' when 3 then null " \
         "else concat(cast(packet_id as {0}), '.5') end"
 

@@ -58,10 +58,10 @@ def expected_stats(pdf):
     return out
 
 
-@pytest.mark.parametrize(("width", "hot_rows"), [(1, 1), (64, 1), (1024, 20), (1024, 200), (10**9, 1), (1, 10**6)])
-def test_flow_stats_do_not_depend_on_chunks(spark, monkeypatch, width, hot_rows):
-    monkeypatch.setattr(flows, "SECONDS_PER_CHUNK", width)
-    pdf = make_packets()
+@pytest.mark.parametrize(("chunks", "hot_rows", "step"), [(2, 1, 700), (8, 20, 700), (256, 20, 0.001), (256, 200, 700), (256, 1, 700), (4, 10**6, 700)])
+def test_flow_stats_do_not_depend_on_chunks(spark, monkeypatch, chunks, hot_rows, step):
+    monkeypatch.setattr(flows, "CHUNKS", chunks)
+    pdf = make_packets(step=step)
     got = flows.flow_stats(spark.createDataFrame(pdf), hot_rows=hot_rows).toPandas().set_index("flow").sort_index()
     want = expected_stats(pdf).sort_index()
     assert got.index.is_unique
@@ -87,10 +87,10 @@ def test_timestamp_option_wins_and_missing_is_zero(spark):
     assert row["flow_avg_iat"] == pytest.approx(20 / 3)
 
 
-@pytest.mark.parametrize(("width", "hot_rows"), [(1, 10**6), (1, 50), (700, 50), (700, 1), (10**9, 50)])
-def test_direction_and_gap(spark, monkeypatch, width, hot_rows):
-    monkeypatch.setattr(flows, "SECONDS_PER_CHUNK", width)
-    pdf = make_packets()
+@pytest.mark.parametrize(("chunks", "hot_rows", "step"), [(256, 10**6, 700), (2, 50, 700), (256, 50, 0.001), (256, 1, 700)])
+def test_direction_and_gap(spark, monkeypatch, chunks, hot_rows, step):
+    monkeypatch.setattr(flows, "CHUNKS", chunks)
+    pdf = make_packets(step=step)
     got = flows.direction_and_gap(spark.createDataFrame(pdf), "frame_num", hot_rows=hot_rows).toPandas().sort_values("frame_num")
     work = pdf.assign(
         flow=pd.to_numeric(pdf["stream_id"], errors="coerce").fillna(-1),
@@ -179,3 +179,33 @@ def test_direction_stays_inside_a_split(spark, hot_rows):
     df = spark.createDataFrame(rows, "frame_num int, stream_id string, split string, `ip.src` string, `ip.dst` string, `frame.time_epoch` string")
     out = flows.direction_and_gap(df, "frame_num", hot_rows=hot_rows, keys=["split"]).orderBy("frame_num").collect()
     assert [(r.flow_dir_sign, r.flow_iat_local) for r in out] == [(1.0, 0.0), (1.0, 0.0), (-1.0, 1.0)]
+
+
+def test_a_burst_is_cut_into_chunks(spark):
+    # all packets of the flow inside one second
+    rows = [("7", "64", f"{1000 + (i * i % 997) / 1000:.3f}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "stream_id string, `ip.len` string, `frame.time_epoch` string")
+    times = df.select(F.lit(7).alias("flow"), F.col("`frame.time_epoch`").cast("double").alias("t")).distinct()
+    sizes = flows.quantile_chunks(times, ["flow"], 50).groupBy("_chunk").agg(F.count("t").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
+    found = sorted((r["_chunk"], r["n"], r["a"], r["b"]) for r in sizes.collect())
+    assert len(found) >= 8 and max(n for _, n, _, _ in found) <= 50
+    assert all(one[3] < other[2] for one, other in zip(found, found[1:]))
+    hot, whole = (flows.flow_stats(df, hot_rows=n).first().asDict() for n in (50, 10**6))
+    assert hot == pytest.approx(whole)
+
+
+def test_packets_are_scanned_once(spark, tmp_path):
+    spark.createDataFrame(make_packets()).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    plan = flows.flow_stats(df)._jdf.queryExecution().executedPlan().toString()
+    # what is left reads the stored table, with a single shuffle for the window and the aggregate
+    assert str(tmp_path) not in plan and plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+    context = flows.direction_and_gap(df, "frame_num")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in context
+
+
+def test_keys_are_scanned_once_for_ranks_and_hot_flows(spark, tmp_path):
+    spark.createDataFrame(make_packets()).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p")).withColumns({n: F.lit("1") for n in ("tcp.srcport", "tcp.dstport", "ip.proto")})
+    plan = flows.add_stream_id(df, "frame_num")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

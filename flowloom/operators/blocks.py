@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from flowloom.functions.scalars import jaccard
 from flowloom.operators.columns import drop_all_null_columns, pad_nulls, wide_to_long
 from flowloom.operators.encode import integer_code
 from flowloom.operators.trees import dotted_edges
-from flowloom.scale import c, quoted, small_side
+from flowloom.scale import c, small_side, sorted_rank
+from flowloom.session import stored
 
+# fixed value: the name of the group that takes unmerged blocks
 DEFAULT_EXPERT = "default_expert"
+#: Fields per number of a presence bitmap.
+WORD = 63
 
 
 # -- fingerprints and blocks ------------------------------------------------------------------------------------
@@ -28,32 +33,60 @@ def row_bytes(fields: Sequence[str]) -> Column:
     return sum((F.coalesce(F.length(c(name)), F.lit(0)) for name in fields), F.lit(0)).cast("long")
 
 
+def presence(fields: Sequence[str]) -> list[Column]:
+    """Which fields are set, as bits: one 64-bit number per 63 fields, named `_set0`, `_set1` and so on."""
+    words = []
+    for number, start in enumerate(range(0, max(len(fields), 1), WORD)):
+        bits = [F.when(c(name).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, name in enumerate(fields[start : start + WORD])]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0)).cast("long").alias(f"_set{number}"))
+    return words
+
+
+def set_names(fields: Sequence[str]) -> list[str]:
+    return [f"_set{number}" for number in range(-(-max(len(fields), 1) // WORD))]
+
+
+def fields_set(fields: Sequence[str]) -> Column:
+    """The names of the set fields, in column order, from the bits of `presence`."""
+
+    def named(number: int) -> Column:
+        names = F.array(*[F.lit(name) for name in fields[number * WORD : (number + 1) * WORD]]).cast("array<string>")
+        return F.filter(names, lambda _, k: F.getbit(F.col(f"_set{number}"), k) == 1)
+
+    return F.concat(*[named(number) for number in range(len(set_names(fields)))])
+
+
 def block_table(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per distinct fingerprint: block_id in fingerprint order, rows, bytes, schema.
+    """One row per distinct set of fields: block_id in fingerprint order, fingerprint, rows, bytes, schema, bits.
 
-    Packets are scanned once, here; the result is materialised (see `small_side`), so that plans and similarities work
-    on this metadata alone. The window sees one row per presence pattern.
+    Packets are scanned once, here, and grouped by the bits of their fields; texts are made from one row per pattern. The
+    numbers come from ranges of the fingerprints, so no window sees all patterns. The result is materialised (see
+    `small_side`): plans and similarities work on this metadata alone.
     """
-    patterns = df.groupBy(fingerprint(fields).alias("fingerprint")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(row_bytes(fields)).alias("n_bytes")
-    )
-    order = Window.partitionBy(F.lit(0)).orderBy("fingerprint")
+    bits = set_names(fields)
+    patterns = df.groupBy(*presence(fields)).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_bytes(fields)).alias("n_bytes"))
+    named = patterns.withColumn("schema", fields_set(fields)).withColumn("fingerprint", F.array_join("schema", "|"))
+    ranged = named.repartitionByRange("fingerprint").withColumn("_range", F.spark_partition_id())
+    # written down, since sampled edges may differ when they are computed again
+    ranked = sorted_rank(stored(ranged, "patterns"), [F.col("fingerprint")], F.col("_range"), name="_rank")
     return small_side(
-        patterns.select(
-            (F.row_number().over(order) - 1).cast("long").alias("block_id"),
+        ranked.select(
+            (F.col("_rank") - 1).alias("block_id"),
             "fingerprint",
             F.md5("fingerprint").alias("fingerprint_md5"),
             "n_rows",
             "n_bytes",
-            F.filter(F.split("fingerprint", r"\|"), lambda x: x != "").alias("schema"),
+            "schema",
+            *bits,
         )
     )
 
 
 def assign_blocks(df: DataFrame, fields: Sequence[str], blocks: DataFrame) -> DataFrame:
-    """Add `block_id`; the block table is broadcast only if it is small."""
-    lookup = small_side(blocks.select("fingerprint", "block_id"))
-    return df.withColumn("fingerprint", fingerprint(fields)).join(lookup, "fingerprint")
+    """Add `fingerprint` and `block_id`, joined by the bits of the set fields; the lookup is broadcast only if it is small."""
+    bits = set_names(fields)
+    lookup = small_side(blocks.select(*bits, "fingerprint", "block_id"))
+    return df.select("*", *presence(fields)).join(lookup, bits).drop(*bits)
 
 
 def block_slice(df: DataFrame, block_id: int, schema: Sequence[str], index: str, label: str = "label") -> DataFrame:
@@ -109,19 +142,45 @@ def column_blocks(signatures: DataFrame, kind: str = "discrete") -> DataFrame:
     raise ValueError("kind must be 'discrete' or 'continuous'")
 
 
-def column_block_slices(
+def column_block_rows(
     df: DataFrame, column_block_table: DataFrame, index: str, label: str = "label"
-) -> dict[int, DataFrame]:
-    """Per column block its rows (those where its columns are set): index first, the block's columns, label last."""
+) -> tuple[DataFrame, dict[int, list[str]]]:
+    """((block, index, label, values) of every column block, the columns of each block).
+
+    A row goes to the blocks whose columns it has, with its values there, so that one pass gives all blocks; the result is
+    stored with a folder per block.
+    """
     members: dict[int, list[str]] = {}
     for row in column_block_table.orderBy("position").collect():  # one row per column
         members.setdefault(row["block"], []).append(row["field"])
-    return {
-        block: df.filter(c(names[0]).isNotNull()).select(
-            *dict.fromkeys([quoted(index), *map(quoted, names), quoted(label)])
+    parts = [
+        F.when(
+            c(names[0]).isNotNull(),
+            F.struct(F.lit(block).alias("block"), F.array(*[c(n).cast("string") for n in names]).alias("values")),
         )
-        for block, names in members.items()
-    }
+        for block, names in sorted(members.items())
+    ]
+    found = df.select(c(index).alias("index"), c(label).alias("label"), F.explode(F.array_compact(F.array(*parts))).alias("p"))
+    rows = found.select("index", "label", "p.values", F.col("p.block").cast("long").alias("block"))
+    return stored(rows, "column-blocks", ["block"]), members
+
+
+def column_block_slices(
+    df: DataFrame, column_block_table: DataFrame, index: str, label: str = "label"
+) -> dict[int, DataFrame]:
+    """Per column block its rows (those where its columns are set): index first, the block's columns, label last.
+
+    All blocks are written in one pass over the table; a slice reads its own folder.
+    """
+    rows, members = column_block_rows(df, column_block_table, index, label)
+    slices = {}
+    for block, names in members.items():
+        kinds = {name: df.schema[name].dataType for name in names}
+        values = {name: F.col("values")[k].cast(kinds[name]).alias(name) for k, name in enumerate(names)}
+        ends = {index: F.col("index").alias(index), label: F.col("label").alias(label)}
+        order = dict.fromkeys([index, *names, label])
+        slices[block] = rows.filter(F.col("block") == block).select(*[ends.get(n, values.get(n)) for n in order])
+    return slices
 
 
 def pad_or_truncate(
@@ -182,17 +241,31 @@ def top_fields(blocks: DataFrame, k: int = 10) -> DataFrame:
 # -- similarity and merge plans ---------------------------------------------------------------------------------
 
 
-def rare_first(small: DataFrame, core: DataFrame, items: str) -> DataFrame:
-    """Add `_ranked`: the small block's items ordered from rare to frequent among the core blocks."""
-    exploded = small.select("block_id", F.explode(items).alias("_item"))
-    frequency = core.select(F.explode(items).alias("_item")).groupBy("_item").agg(F.count(F.lit(1)).alias("_f"))
+def item_frequency(core: DataFrame, items: str) -> DataFrame:
+    """(_item, _f): in how many core blocks an item is."""
+    return core.select(F.explode(items).alias("_item")).groupBy("_item").agg(F.count(F.lit(1)).alias("_f"))
+
+
+def rare_first(blocks: DataFrame, frequency: DataFrame, items: str) -> DataFrame:
+    """Add `_ranked`: the block's items ordered from rare to frequent among the core blocks, ties by name."""
+    exploded = blocks.select("block_id", F.explode(items).alias("_item"))
     ranked = (
         exploded.join(frequency, "_item", "left")
         .groupBy("block_id")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_item"))).alias("_s"))
         .select("block_id", F.transform("_s", lambda s: s["_item"]).alias("_ranked"))
     )
-    return small.join(ranked, "block_id", "left")
+    return blocks.join(ranked, "block_id", "left").withColumn("_ranked", F.coalesce("_ranked", F.array().cast("array<string>")))
+
+
+def _prefix(ranked: DataFrame, threshold: float, block: str, size: str, place: str) -> DataFrame:
+    """(block, size, place, _item): a block's rarest items, one of which any similar block shares."""
+    here = F.size("_ranked")
+    need = F.ceil(F.lit(float(threshold)) * here - F.lit(1e-9))
+    length = F.greatest(F.lit(1), here - need + 1).cast("int")
+    return ranked.select(
+        F.col("block_id").alias(block), here.alias(size), F.posexplode(F.slice("_ranked", F.lit(1), length)).alias(place, "_item")
+    )
 
 
 def candidate_pairs(
@@ -200,29 +273,34 @@ def candidate_pairs(
 ) -> DataFrame:
     """(block_id, core_id) pairs that can reach a Jaccard of `threshold` on `items`.
 
-    A pair at or above the threshold shares at least ceil(threshold * |items|) items, so it shares one of the
-    rarest |items| - that + 1; only those are joined with the core blocks' items, and only where the sizes allow the
-    threshold. `supersets` also gives every core block that may hold all items: these hold the rarest one.
+    Items are ordered from rare to frequent. A pair at or above the threshold shares at least ceil(threshold * |items|)
+    items of either side, so it shares one of the rarest |items| - that + 1 of both: only these are joined, where the sizes
+    allow the threshold. The place of a pair's first shared item bounds what it can share at all: no more than what is left
+    from there on in either list. `supersets` also gives every core block that may hold all items: these hold the rarest.
     """
-    here, there = F.size("_ranked"), F.col("_there")
-    need = F.ceil(F.lit(float(threshold)) * here - F.lit(1e-9))
-    length = F.greatest(F.lit(1), here - need + 1).cast("int")
-    probes = small.select(
-        "block_id", here.alias("_here"), F.posexplode(F.slice("_ranked", F.lit(1), length)).alias("_pos", "_item")
-    )
-    index = core.select(
-        F.col("block_id").alias("core_id"), F.size(items).alias("_there"), F.explode(items).alias("_item")
-    )
-    small_size = F.col("_here")
-    fits = F.least(small_size, there) >= F.greatest(small_size, there) * F.lit(float(threshold)) - F.lit(1e-9)
-    if supersets:
-        fits = fits | ((F.col("_pos") == 0) & (there >= small_size))
-    return probes.join(index, "_item").filter(fits).select("block_id", "core_id").distinct()
+    frequency = item_frequency(core, items)
+    left, right = rare_first(small, frequency, items), rare_first(core, frequency, items)
+    probes = _prefix(left, threshold, "block_id", "_here", "_at")
+    index = _prefix(right, threshold, "core_id", "_there", "_place")
+    here, there = F.col("_here"), F.col("_there")
+    fits = F.least(here, there) >= F.greatest(here, there) * F.lit(float(threshold)) - F.lit(1e-9)
+    met = probes.join(index, "_item").filter(fits).groupBy("block_id", "core_id", "_here", "_there")
+    # both lists have one order, so the first shared item has the least place in both
+    first = met.agg(F.min("_at").alias("_at"), F.min("_place").alias("_place"))
+    most = F.least(here - F.col("_at"), there - F.col("_place"))
+    need = F.lit(threshold / (1.0 + threshold)) * (here + there) - F.lit(1e-9)
+    pairs = first.filter(most >= need).select("block_id", "core_id")
+    if not supersets:
+        return pairs
+    rarest = left.filter(F.size("_ranked") > 0).select("block_id", F.size("_ranked").alias("_here"), F.col("_ranked")[0].alias("_item"))
+    holders = core.select(F.col("block_id").alias("core_id"), F.size(items).alias("_there"), F.explode(items).alias("_item"))
+    above = rarest.join(holders, "_item").filter(there >= here).select("block_id", "core_id")
+    return pairs.unionByName(above).distinct()
 
 
 def similar_blocks(small: DataFrame, core: DataFrame, threshold: float) -> DataFrame:
     """Field Jaccard of small/core pairs that reach `threshold` or where the core holds all fields."""
-    left = rare_first(small, core, "schema").select("block_id", "schema", "_ranked")
+    left = small.select("block_id", "schema")
     smallest = core.orderBy(F.size("schema"), "block_id").limit(1).select("block_id").scalar()
     no_fields = left.filter(F.size("schema") == 0).select("block_id", smallest.alias("core_id"))
     pairs = candidate_pairs(left, core, "schema", threshold, supersets=True).union(
@@ -297,7 +375,7 @@ def tree_similarity(small: DataFrame, core: DataFrame, threshold: float, alpha:
     left, right = with_trees(small), with_trees(core)
     pairs = None
     for items in ("nodes", "edges"):
-        found = candidate_pairs(rare_first(left, right, items), right, items, threshold)
+        found = candidate_pairs(left, right, items, threshold)
         pairs = found if pairs is None else pairs.union(found)
     scored = (
         pairs.distinct()

@@ -56,47 +56,72 @@ def build_vocab(df: DataFrame, fields: Sequence[str], variant: str = "v2") -> Da
     return ids.union(oov.withColumn("id", F.col("id").cast("long")))
 
 
-class VocabLookup:
-    """One field's vocabulary as a join side: broadcast when the whole vocabulary is small, else distributed."""
-
-    def __init__(self, table: DataFrame, unknown: int, is_local: bool):
-        self.table, self.unknown, self.is_local = table, unknown, is_local
-
-    def encode(self, df: DataFrame, field: str, row_id: str, out: str | None = None) -> DataFrame:
-        keyed = df.withColumn("_v", norm_hex(c(field), OOV))
-        if self.is_local:
-            joined = keyed.join(F.broadcast(self.table), "_v", "left")
-        else:
-            joined = skew_join(keyed, self.table, ["_v"], salt_by=c(row_id))
-        return joined.withColumn(out or field, F.coalesce(F.col("_id"), F.lit(self.unknown)).cast("int")).drop(
-            "_v", "_id"
-        )
+class Vocabulary:
+    """A vocabulary as join sides, with a size per field.
 
+    Small fields, taken from the smallest on while together they hold at most `max_rows` rows, are broadcast one by one,
+    which shuffles nothing. All other fields share one shuffled lookup in long form, whatever their number.
+    """
 
-def vocab_lookups(vocab: DataFrame, max_rows: int = BROADCAST_ROWS) -> dict[str, VocabLookup]:
-    """A lookup per field; the vocabulary is computed once, and fetched only up to `max_rows`."""
-    spark = vocab.sparkSession
-    probe = vocab.select("field", "value", "id").limit(max_rows + 1).toArrow()
-    is_local = probe.num_rows <= max_rows
-    kept = spark.createDataFrame(probe, schema="field string, value string, id bigint") if is_local else durable(vocab)
-    if is_local:
-        oov = [row for row in probe.to_pylist() if row["value"] == OOV]
-    else:
-        oov = kept.filter(F.col("value") == OOV).collect()  # one row per field
-    lookups = {}
-    for row in oov:
-        wanted = kept.filter((F.col("field") == row["field"]) & (F.col("value") != OOV))
-        table = wanted.select(F.col("value").alias("_v"), F.col("id").alias("_id"))
-        lookups[row["field"]] = VocabLookup(table, row["id"], is_local)
-    return lookups
+    def __init__(self, vocab: DataFrame, max_rows: int = BROADCAST_ROWS):
+        self.table = stored(vocab.select("field", "value", "id"), "vocabulary")
+        is_oov = F.col("value") == OOV
+        fields = self.table.groupBy("field").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.when(is_oov, F.col("id"))).alias("unknown")
+        )
+        rows = sorted(fields.collect(), key=lambda r: (r["n"], r["field"]))  # one row per field
+        self.unknown = {r["field"]: r["unknown"] or 0 for r in rows}
+        held = 0
+        self.small: list[str] = []
+        for row in rows:
+            held += row["n"]
+            if held <= max_rows:
+                self.small.append(row["field"])
+        self.large = [r["field"] for r in rows if r["field"] not in set(self.small)]
+        self.table = self.table.filter(~is_oov)
+        known = self.table.filter(F.col("field").isin(self.small)).toArrow() if self.small else None
+        self.local = None if known is None else vocab.sparkSession.createDataFrame(known, schema="field string, value string, id bigint")
+
+    def encode(self, df: DataFrame, fields: Mapping[str, str], row_id: str) -> DataFrame:
+        """Add a column of ids for each field (name: output name); null or unknown values get the field's unknown id.
+
+        `row_id` is unique; it only matters for large fields.
+        """
+        result = df
+        small = [name for name in fields if name in set(self.small)]
+        large = [name for name in fields if name in set(self.large)]
+        if large:
+            result = result.join(self._coded(df, large, row_id), row_id, "left")
+        for name in small:
+            side = self.local.filter(F.col("field") == name).select(F.col("value").alias("_v"), F.col("id").alias("_id"))
+            keyed = result.withColumn("_v", norm_hex(c(name), OOV))
+            result = keyed.join(F.broadcast(side), "_v", "left").withColumn(f"_code {name}", F.col("_id")).drop("_v", "_id")
+        codes = [F.coalesce(c(f"_code {name}"), F.lit(self.unknown[name])).cast("int").alias(out) for name, out in fields.items()]
+        replaced = set(fields.values())
+        return result.select(*[c(name) for name in df.columns if name not in replaced], *codes)
+
+    def _coded(self, df: DataFrame, fields: Sequence[str], row_id: str) -> DataFrame:
+        """(row_id, one code column per field): every row's values in long form, looked up together.
+
+        A dictionary of the distinct values with their ids and row counts comes first, so that values held by very many rows
+        are known, and salted, in the lookup of the rows.
+        """
+        pairs = F.array(*[F.struct(F.lit(n).alias("field"), norm_hex(c(n), OOV).alias("value")) for n in fields])
+        long = df.select(c(row_id).alias("_row"), F.explode(pairs).alias("p")).select("_row", "p.field", "p.value")
+        long = long.filter(F.col("value") != OOV.lower())
+        counted = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("_rows"))
+        dictionary = stored(counted.join(self.table, ["field", "value"]), "dictionary")
+        coded = skew_join(long, dictionary, ["field", "value"], "inner", salt_by=F.col("_row"), counts="_rows")
+        columns = [F.max(F.when(F.col("field") == n, F.col("id"))).alias(f"_code {n}") for n in fields]
+        return coded.groupBy("_row").agg(*columns).withColumnRenamed("_row", row_id)
 
 
 def encode_categorical(df: DataFrame, field: str, vocab: DataFrame, row_id: str, out: str | None = None) -> DataFrame:
     """Replace a field by its vocabulary id; null or unknown values get the field's unknown id (0 without one)."""
-    lookup = vocab_lookups(vocab.filter(F.col("field") == field)).get(field)
-    if lookup is None:
+    vocabulary = Vocabulary(vocab.filter(F.col("field") == field))
+    if field not in vocabulary.unknown:
         return df.withColumn(out or field, F.lit(0))
-    return lookup.encode(df, field, row_id, out)
+    return vocabulary.encode(df, {field: out or field}, row_id)
 
 
 def encode_field(field: str, kind: str) -> Column | None:
@@ -121,14 +146,15 @@ def encode_packets(
 ) -> DataFrame:
     """Catalog fields of the table encoded by type, `flow_*` columns as float.
 
-    A field that needs a vocabulary and has none is 0 everywhere, so the columns don't depend on the vocabulary.
+    A field that needs a vocabulary and has none is 0 everywhere, so the columns don't depend on the vocabulary. `row_id` is
+    unique.
     """
     fields = sorted(name for name in catalog if name in df.columns)
     flow_columns = [name for name in df.columns if name.startswith("flow_")]
-    lookups = vocab_lookups(vocab)
+    vocabulary = Vocabulary(vocab.filter(F.col("field").isin(fields)))
     plain = {name: encode_field(name, catalog[name]) for name in fields}
-    looked_up = [name for name in fields if plain[name] is None and name in lookups]
-    unknown = [name for name in fields if plain[name] is None and name not in lookups]
+    looked_up = [name for name in fields if plain[name] is None and name in vocabulary.unknown]
+    unknown = [name for name in fields if plain[name] is None and name not in vocabulary.unknown]
     encoded = df.select(
         *[c(name) for name in dict.fromkeys([row_id, *keep])],
         *[c(name) for name in looked_up],
@@ -136,9 +162,7 @@ def encode_packets(
         *[F.lit(0).alias(name) for name in unknown],
         *[F.coalesce(c(name).try_cast("double"), F.lit(0.0)).cast("float").alias(name) for name in flow_columns],
     )
-    for name in looked_up:
-        encoded = lookups[name].encode(encoded, name, row_id)
-    return encoded
+    return vocabulary.encode(encoded, {name: name for name in looked_up}, row_id)
 
 
 def perturb(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +63,7 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, purpose: str = "table") -> DataFrame:
+def stored(df: DataFrame, purpose: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """`df` written as Parquet below the shared checkpoint folder and read again.
 
     Later steps read only the columns they need, and a count reads no rows at all.
@@ -70,5 +71,5 @@ def stored(df: DataFrame, purpose: str = "table") -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/{purpose}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,25 +46,57 @@ def label_from_path(path: Column, root: str | None = None) -> Column:
     return F.when(folder.endswith(root.rstrip("/")), by_stem).otherwise(F.substring_index(folder, "/", -1))
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file; only its first line is read."""
-    return spark.read.csv(path, header=True, inferSchema=False).columns
+def column_names(header: str) -> tuple[str, ...]:
+    """Column names of a CSV header line; an empty one is `_c<place>`, a repeated one gets its place as suffix."""
+    names = next(csv.reader([header]), [])
+    seen = Counter(name.lower() for name in names)
+    named = enumerate(names)
+    return tuple(f"_c{k}" if not name else f"{name}{k}" if seen[name.lower()] > 1 else name for k, name in named)
+
+
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, header) of every file that isn't empty, in one job; no more of a file is read than its beginning.
+
+    A session of its own gives every file one task, which takes the first line and ends.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))
+    session.conf.set("spark.sql.files.openCostInBytes", str(1 << 50))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    lines = session.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("header"))
+    return lines.mapInArrow(first, "path string, header string")
 
 
 def read_packets_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """CSV files of one header as all-string columns."""
-    first = paths if isinstance(paths, str) else paths[0]
-    names = list(columns) if columns is not None else csv_header(spark, first)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, schema=schema)
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    if columns is None:
+        header = first_lines(spark, listed[:1]).first()
+        columns = column_names(header["header"]) if header else ()
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    return spark.read.csv(listed, header=True, schema=schema)
 
 
 def frames_by_header(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
-    """One all-string table per distinct header; files with equal headers are read together."""
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(paths):
-        by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
-    return [read_packets_csv(spark, group, header) for header, group in by_header.items()]
+    """One all-string table per distinct header; files with equal headers are read together.
+
+    The headers are read by tasks, and grouped before they reach the driver: one row per distinct header, with its files.
+    """
+    if not paths:
+        return []
+    lines = first_lines(spark, paths).groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    by_names: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.collect():
+        by_names.setdefault(column_names(row["header"]), []).extend(row["paths"])
+    ordered = sorted(by_names.items(), key=lambda item: min(item[1]))
+    return [read_packets_csv(spark, sorted(group), names) for names, group in ordered]
 
 
 def merge_csvs(spark: SparkSession, root: str, prefix: str = "", suffix: str = ".csv") -> DataFrame:

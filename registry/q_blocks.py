@@ -136,6 +136,50 @@ def column_block_rows(spark, sf_dir):
     return reduce(lambda a, b: a.union(b), counted)
 
 
+#: Runs of adjacent columns of `packets` that are set in the same rows.
+_TRUNCATED = [
+    FIELDS[: FIELDS.index("tcp.options.mss_val")],
+    ["tcp.options.mss_val"],
+    ["tcp.options.timestamp"],
+    ["tcp.srcport"],
+    ["tcp.vendor.note"],
+    ["tls.handshake.extension.type", "tls.handshake.type"],
+    ["tls.record.content_type", "tls.record.length"],
+]
+
+
+@query(
+    "pad_or_truncate",
+    with_views(
+        "select block, fields, packet_id, label, case block "
+        + " ".join(
+            f"when {k} then concat_ws('|', " + ", ".join(f'"{n}"' for n in names) + ")" for k, names in enumerate(_TRUNCATED)
+        )
+        + " end as values from packets cross join (values "
+        + ", ".join(f"({k}::bigint, '{'|'.join(names)}')" for k, names in enumerate(_TRUNCATED))
+        + ") v(block, fields) where case block "
+        + " ".join(f'when {k} then "{names[0]}" is not null' for k, names in enumerate(_TRUNCATED))
+        + " end",
+        "packets",
+    ),
+)
+def pad_or_truncate(spark, sf_dir):
+    """The packets cut into blocks of adjacent columns with equal row sets, in long form, from one written table."""
+    df = packets(spark, sf_dir).select("packet_id", "label", *[c(n) for n in FIELDS])
+    parts = blocks.pad_or_truncate(df, False, "packet_id")
+    found = []
+    for part in parts:
+        names = [n for n in part.columns if n in FIELDS]
+        if names:
+            found.append(
+                part.select(
+                    F.lit(len(found)).cast("long").alias("block"), F.lit("|".join(names)).alias("fields"), "packet_id", "label",
+                    F.concat_ws("|", *[c(n) for n in names]).alias("values"),
+                )
+            )
+    return reduce(lambda a, b: a.union(b), found)
+
+
 # -- summaries --------------------------------------------------------------------------------------------------
 
 

@@ -255,3 +255,67 @@ def test_pad_or_truncate(spark):
     assert [p.count() for p in parts] == [3, 2, 1, 3]
     joined = blocks.pad_or_truncate(df, False, "index", kind="discrete")
     assert [p.columns for p in joined][0] == ["index", "tcp.reassembled_segments", "label"]
+
+
+def test_more_fields_than_a_word_has_bits(spark):
+    names = [f"ip.f{i:03d}" for i in range(140)]
+    rows = [(i, *["1" if (i * (k + 1)) % 3 == 0 or k == 139 - i else None for k in range(140)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "n bigint, " + ", ".join(f"`{n}` string" for n in names))
+    table = blocks.block_table(df, names)
+    want = {r[0]: "|".join(n for n, v in zip(names, r[1:], strict=True) if v) for r in rows}
+    order = {text: k for k, text in enumerate(sorted(set(want.values())))}
+    got = {r["n"]: (r["fingerprint"], r["block_id"]) for r in blocks.assign_blocks(df, names, table).collect()}
+    assert got == {n: (text, order[text]) for n, text in want.items()}
+    assert {r["fingerprint"]: r["schema"] for r in table.collect()} == {t: t.split("|") for t in order}
+
+
+def test_block_numbers_need_no_window_over_all_patterns(rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(blocks, "small_side", lambda df: seen.append(df) or df)
+    table = blocks.block_table(rows[1], FIELDS)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
+    assert ranks and all("_bucket" in line for line in ranks)
+    joined = blocks.assign_blocks(rows[1], FIELDS, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "_set0" in line and "fingerprint" not in line for line in joined.splitlines())
+
+
+def shared_blocks(spark, n=120, common=30):
+    """Core and small blocks that all share 30 fields; every small block resembles one core block besides."""
+    rng = random.Random(9)
+    base = [f"ip.c{k:02d}" for k in range(common)]
+    schemas = {}
+    for i in range(1, n, 2):
+        own = rng.sample([f"tcp.o{k:04d}" for k in range(2000)], rng.randrange(20, 30))
+        schemas[i], schemas[i - 1] = base + own, base + own[3:] + [f"tls.n{i}.{k}" for k in range(3)]
+    rows = [(i, "|".join(sorted(s)), "", 2000 if i % 2 else 5, 10, sorted(s)) for i, s in sorted(schemas.items())]
+    df = spark.createDataFrame(rows, "block_id bigint, fingerprint string, fingerprint_md5 string, n_rows bigint, n_bytes bigint, schema array<string>")
+    return df, {i: set(s) for i, s in schemas.items()}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_places_bound_the_candidates(spark, threshold):
+    df, sets = shared_blocks(spark)
+    core, small = blocks.split_core(df, 1000)
+    pairs = {(r["block_id"], r["core_id"]) for r in blocks.candidate_pairs(small, core, "schema", threshold).collect()}
+    alike = {(a, b) for a in sets if a % 2 == 0 for b in sets if b % 2 and jaccard(sets[a], sets[b]) >= threshold}
+    assert len(alike) >= 60 and alike <= pairs
+    if threshold == 0.7:
+        # all 3 600 pairs share 30 fields; a join on shared fields alone would give every one
+        assert len(pairs) < 3600 / 5
+    found = {(r["block_id"], r["core_id"]): r["similarity"] for r in blocks.similar_blocks(small, core, threshold).collect()}
+    assert {p: round(v, 9) for p, v in found.items() if v >= threshold} == {p: round(jaccard(sets[p[0]], sets[p[1]]), 9) for p in alike}
+
+
+def test_column_blocks_are_written_in_one_pass(spark, tmp_path):
+    rows = [(i, "a", f"{i}", None if i % 2 else "x", None if i % 2 else i, f"{i}") for i in range(40)]
+    spark.createDataFrame(rows, "n bigint, label string, p string, q string, r bigint, s string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    signatures = blocks.column_signatures(df, ["p", "q", "r", "s"], "n")
+    table = blocks.column_blocks(signatures)
+    slices = blocks.column_block_slices(df, table, "n")
+    assert [(s.columns, s.count()) for _, s in sorted(slices.items())] == [(["n", "p", "s", "label"], 40), (["n", "q", "r", "label"], 20)]
+    assert slices[1].schema["r"].dataType.simpleString() == "bigint"
+    for part in slices.values():
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert str(tmp_path) not in plan and "PartitionFilters" in plan and plan.count("FileScan") == 1

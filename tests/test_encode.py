@@ -41,12 +41,29 @@ def test_vocab_variants(df):
 @pytest.mark.parametrize("max_rows", [1, 100])
 def test_encode_categorical_small_and_large_vocabularies(df, max_rows):
     vocab = encode.build_vocab(df.filter(F.col("frame_num") != 2), ["ip.proto"], "v1")
-    lookup = encode.vocab_lookups(vocab, max_rows)["ip.proto"]
-    assert lookup.is_local == (max_rows == 100)
-    got = {r["frame_num"]: r["code"] for r in lookup.encode(df, "ip.proto", "frame_num", "code").collect()}
+    lookup = encode.Vocabulary(vocab, max_rows)
+    assert (lookup.small, lookup.large) == ((["ip.proto"], []) if max_rows == 100 else ([], ["ip.proto"]))
+    got = {r["frame_num"]: r["code"] for r in lookup.encode(df, {"ip.proto": "code"}, "frame_num").collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
+def test_large_fields_share_one_lookup(spark):
+    names = [f"f{i}.x" for i in range(6)]
+    rows = [(i, *[None if (i + k) % 11 == 0 else format(i * (k + 3) % 40 if i % 3 else 0, "x") for k in range(6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "n bigint, " + ", ".join(f"`{n}` string" for n in names)).repartition(5)
+    vocab = encode.build_vocab(df.filter("n < 350"), names)
+    least = min(r["count"] for r in vocab.groupBy("field").count().collect())
+    outputs = {n: n for n in names}
+    whole, split = encode.Vocabulary(vocab, 10**6), encode.Vocabulary(vocab, least)
+    assert len(whole.small) == 6 and len(split.large) == 5
+    one, other = (v.encode(df, outputs, "n") for v in (whole, split))
+    assert one.columns == other.columns == ["n", *names]
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    # one join back to the rows besides the broadcast of the small field, however many fields are large
+    plan = other._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("Join Inner") <= 1
+
+
 def test_encode_packets(df):
     vocab = encode.build_vocab(df, ["ip.proto"])
     got = {r["frame_num"]: r for r in

@@ -88,6 +88,45 @@ def test_streaming_ingest_reads_each_file_once(spark, pdml_dir, tmp_path):
     assert {r["label"] for r in rows if r["frame.number"] == "9"} == {"web"}
 
 
+def test_streamed_rejects_are_kept_once(spark, pdml_dir, tmp_path):
+    out, state = str(tmp_path / "table"), str(tmp_path / "state")
+    ingest_pdml(spark, pdml_dir, out, state, ["ip.len"], files_per_batch=1).awaitTermination()
+    ingest_pdml(spark, pdml_dir, out, state, ["ip.len"], files_per_batch=1).awaitTermination()
+    rejects = spark.read.parquet(f"{out}_rejects").collect()
+    broken = [r for r in rejects if r["reason"].startswith("not well-formed")]
+    assert len(broken) == 3 and len({r["path"] for r in broken}) == 3 and all("<broken>" in r["raw"] for r in broken)
+    # a batch that is run again after a crash replaces what it wrote
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()
+    for crc in (tmp_path / "state" / "commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+    before = spark.read.parquet(out).count()
+    ingest_pdml(spark, pdml_dir, out, state, ["ip.len"], files_per_batch=1).awaitTermination()
+    assert spark.read.parquet(out).count() == before
+    assert spark.read.parquet(f"{out}_rejects").count() == len(rejects)
+
+
+def test_column_names_of_a_header():
+    assert tables.column_names('a,"b,c",,A,d') == ("a0", "b,c", "_c2", "A3", "d")
+
+
+def test_headers_of_many_files_take_a_fixed_number_of_jobs(spark, tmp_path):
+    for i in range(500):
+        names = ["ip.len", f"tcp.f{i % 3}"]
+        (tmp_path / f"l{i % 5}_{i:03d}.csv").write_text(",".join(names) + "\n" + f"{i:x},1\n" * 3)
+    (tmp_path / "none.csv").write_text("")
+    paths = [str(p) for p in sorted(tmp_path.glob("*.csv"))]
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for group, some in [("few", paths[:100]), ("many", paths)]:
+        spark.sparkContext.setJobGroup(group, group)
+        frames = tables.frames_by_header(spark, some)
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] < 10
+    assert sorted(f.columns for f in frames) == [["ip.len", f"tcp.f{k}"] for k in range(3)]
+    assert sum(f.count() for f in frames) == 1500
+
+
 @pytest.fixture
 def csv_dir(tmp_path):
     folder = tmp_path / "csv"

@@ -171,5 +171,13 @@ def returns_memory(function: Callable) -> Callable:
     return run
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark drops shuffle files and broadcasts of finished steps only after that.
+
+    Many small steps in a row otherwise let the driver's heap grow to its limit between collections.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def clashing(columns: Sequence[str]) -> list[str]:
     return [name for name in columns if columns.count(name) > 1]

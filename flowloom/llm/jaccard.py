@@ -16,7 +16,8 @@ Recall: a pair with similarity 0.8 shares no chosen token in 12 runs with probab
 that two sets share goes on to 1.25 shared ones on average, of which some survives `DEPTH` splits with probability 0.43: a
 pair all of whose tokens lie in buckets that stay large that long is lost with probability exp(-12 * 0.43) = 0.006, one with
 half of them there with exp(-8.6). In what is still large after `DEPTH` splits all pairs of sketches are compared. The estimate on a sketch lets a pair at 0.8 pass with probability 0.9999, and one at 0.5 with 0.0001, so half-alike
-texts (templates, boilerplate) don't chain to groups.
+texts (templates, boilerplate) don't chain to groups by it. The average of `PROBES` tokens is rough: it can take a bucket of
+half-alike sets for a class, which are then compared exactly for nothing.
 
 Edge cases: a text that is null or has no word has no shingles and links with nothing; one of 1 to 4 words has itself
 as its only shingle. Repeated rows, also with equal ids, are linked as copies; rows that repeat an id with another
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import connected_components, fresh, local_roots, narrow, quoted, saved, slices
+from flowloom.llm.common import connected_components, fresh, local_roots, narrow, quoted, release, saved, slices
 from flowloom.llm.text import mix, normalized, shingles_of, unique_sorted, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -189,20 +190,22 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
         return rows.groupBy("rep").agg(F.collect_list("path").alias("paths")).join(sketches, "rep").select("rep", "sketch", "paths")
 
     for depth in range(DEPTH + 1):
+        release(reps.sparkSession)
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"))
         sized = saved(sizes.filter("size > 1"), "buckets")
         held = saved(level.join(narrow(sized), "path"), "held")
         buckets = held.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-        small.append(buckets.select("reps").distinct())
+        # written per level, so that no plan spans all levels
+        small.append(saved(buckets.select("reps").distinct(), "small"))
         large = held.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
         if depth == DEPTH:
-            ties.append(alike_pairs(large, sketches))
+            ties.append(saved(alike_pairs(large, sketches), "ties"))
             break
         alike = agreement(saved(one_row_per_set(large), "members"), sized)
         dense = narrow(saved(alike.filter(F.col("alike") >= DENSE).select("path"), "dense"))
-        ties.append(large.join(dense, "path", "left_semi").select("rep", "first").distinct())
+        ties.append(saved(large.join(dense, "path", "left_semi").select("rep", "first").distinct(), "ties"))
         rest = saved(one_row_per_set(large.join(dense, "path", "left_anti")), "members")
         if rest.isEmpty():
             break
@@ -221,7 +224,8 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
             good = (a == b).mean(axis=1) >= ESTIMATE
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
 
-    edges = near.select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long")
+    edges = saved(near.select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long"), "pairs")
+    release(reps.sparkSession)
     for tie in ties:
         edges = edges.unionByName(tie.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     return connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
@@ -311,6 +315,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     filled = signed.filter("n > 0 and id is not null")
     reps = saved(filled.groupBy("n", "low", "high").agg(F.min_by("sketch", "id").alias("sketch"), F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.col("low")), "sets")
     groups = saved(candidate_groups(reps), "candidates")
+    release(docs.sparkSession)
     found = exact_links(docs, text, key, reps, groups)
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

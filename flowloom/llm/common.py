@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -164,18 +165,26 @@ def returns_memory(function: Callable) -> Callable:
         try:
             return function(*args, **named)
         finally:
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-            if trim is not None:
-                trim(0)
+            trim_memory()
 
     return run
 
 
+def trim_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage: Spark drops shuffle files and broadcasts of finished steps only after that.
 
-    Many small steps in a row otherwise let the driver's heap grow to its limit between collections.
+    Many small steps in a row otherwise let the driver's heap grow to its limit between collections. Plans that Python's own
+    garbage still holds go first.
     """
+    trim_memory()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -6,7 +6,8 @@ vectorised search. A digest that is found counts only if the stored string is th
 
 Edge cases: a URL that is null or has no `://` has an empty host and path and matches nothing; an empty path matches no
 rule, as rules' paths begin with a slash; of several fitting entries the longest string wins, ties cannot occur; an
-entry given both as allow and block counts as block; an empty list allows everything. Columns named like an output are
+entry given both as allow and block counts as block; an entry without a slash is its whole host, a null or empty one is
+passed over; an empty list allows everything. Columns named like an output are
 replaced by it; all other columns stay.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import quoted, shared_path
+from flowloom.llm.common import fresh, quoted, shared_path
 
 #: Largest list that is handed to every executor as a file.
 MAX_BYTES = 1 << 30
@@ -32,16 +33,25 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 BLOCKED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org")
 
 
-def host_of(url: Column) -> Column:
+def after_scheme(url: Column) -> Column:
     at = F.locate("://", url)
-    rest = F.when(at > 0, F.regexp_extract(F.expr("substring(_url, locate('://', _url) + 3)"), r"^([^/?#]*)", 1)).otherwise(F.lit(""))
+    return F.when(at > 0, url.substr(at + 3, F.length(url)))
+
+
+def host_of(url: Column) -> Column:
+    rest = F.regexp_extract(after_scheme(url), r"^([^/?#]*)", 1)
     return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    at = F.locate("://", url)
-    rest = F.when(at > 0, F.regexp_extract(F.expr("substring(_url, locate('://', _url) + 3)"), r"^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
-    return F.coalesce(rest, F.lit(""))
+    return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """(key, block, rule) of the distinct entries; a key without a slash is a whole host, a null or empty one is nothing."""
+    whole = F.when(F.contains("key", F.lit("/")), F.col("key")).otherwise(F.concat("key", F.lit("/")))
+    rows = entries.filter("key <> ''").select(whole.alias("key"), "verdict", "rule")
+    return rows.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"), F.max("rule").alias("rule"))
 
 
 def build(spark: SparkSession, entries: DataFrame) -> tuple[str, list[int]]:
@@ -50,7 +60,7 @@ def build(spark: SparkSession, entries: DataFrame) -> tuple[str, list[int]]:
     File: count, sorted digests, ends of the strings, verdict bytes, then the strings. The list is a filter's
     configuration; beyond `MAX_BYTES` it is refused, and `judge_by_join` is the way for such lists.
     """
-    one = entries.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"), F.max("rule").alias("rule"))
+    one = listed(entries)
     size = one.agg(F.coalesce(F.sum(F.octet_length("key") + 17), F.lit(0))).first()[0]
     if size > MAX_BYTES:
         raise ValueError(f"the list takes {size} bytes; use judge_by_join")
@@ -114,8 +124,9 @@ def rule_entries(spark: SparkSession, rules=RULES, hosts=BLOCKED_HOSTS) -> DataF
 def split(pages: DataFrame, url: str = "url") -> DataFrame:
     """`pages` with `host` and `path`."""
     kept = [c for c in pages.columns if c.lower() not in ("host", "path")]
-    with_url = pages.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(url)).alias("_url"))
-    return with_url.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))}).drop("_url")
+    name = fresh(pages, "whole_url")
+    with_url = pages.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(url)).alias(name))
+    return with_url.withColumns({"host": host_of(F.col(name)), "path": path_of(F.col(name))}).drop(name)
 
 
 def judge(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
@@ -155,8 +166,8 @@ def judge_by_join(pages: DataFrame, entries: DataFrame, lengths: list[int], url:
     tail = F.explode_outer(F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     ways = rows.withColumn("_h", tail).withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths or [1]])))
     probes = ways.withColumn("_key", F.when((F.length("path") >= F.col("_n")) & (F.col("_h") != ""), F.concat("_h", F.expr("substring(path, 1, _n)"))))
-    listed = entries.groupBy(F.col("key").alias("_key")).agg(F.max(F.col("verdict") == "block").alias("_block"), F.max("rule").alias("_rule"))
-    hit = probes.withColumn("_digest", F.xxhash64("_key")).join(listed.withColumn("_digest", F.xxhash64("_key")), ["_digest", "_key"], "left")
+    known = listed(entries).select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("rule").alias("_rule"))
+    hit = probes.withColumn("_digest", F.xxhash64("_key")).join(known.withColumn("_digest", F.xxhash64("_key")), ["_digest", "_key"], "left")
     best = F.max(F.when(F.col("_rule"), F.struct(F.length("_key").alias("l"), F.col("_key").alias("k"), F.col("_block").alias("b"))))
     out = hit.groupBy("_id").agg(best.alias("_best"), F.coalesce(F.max("_block"), F.lit(False)).alias("_any"))
     verdict = F.when(F.coalesce(F.col("_best.b"), F.col("_any")), "block").otherwise("allow")

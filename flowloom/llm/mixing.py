@@ -1,12 +1,12 @@
 """Mixing sources to target weights: every document is repeated a Poisson number of times.
 
 The rate of a document is its source's share of the wanted mixture divided by the source's size. The number of copies
-inverts the Poisson distribution at a number in [0, 1) hashed from seed and id, so a rerun, also of a lost task, gives
-the same mixture. A rate above `CHUNK` is cut into equal parts with a number each, which leaves the distribution as it
+inverts the Poisson distribution at a number in [0, 1) hashed from seed, id, source and text, so a rerun, also of a lost
+task, gives the same mixture. A rate above `CHUNK` is cut into equal parts with a number each, which leaves the distribution as it
 is and keeps every table of probabilities and every exploded array short.
 
-Edge cases: a null source is a source of its own; a null or empty text is a document like any other; rows with equal
-ids get equal counts, null ids count as one id; sources without a given weight get weight 0 if weights are given; an
+Edge cases: a null source is a source of its own; a null or empty text is a document like any other; rows that share an
+id, or have none, are drawn and placed by their own source and text, so that only exact repeats get equal counts; sources without a given weight get weight 0 if weights are given; an
 empty table gives an empty one. Columns named like an output (`copy`, `rate`, `shuffle_key`) are replaced by it.
 """
 
@@ -58,6 +58,7 @@ def mix(
     total: float | None = None,
     source: str = "source",
     key: str = "doc_id",
+    text: str = "text",
     seed: int = SEED,
 ) -> DataFrame:
     """`docs` repeated to the target mixture in a random order, with `copy` (from 1), `rate` and `shuffle_key`.
@@ -73,16 +74,17 @@ def mix(
     )
     rows = docs.select(*[F.col(quoted(c)) for c in kept])
     rated = rows.join(lookup, rows[quoted(source)].eqNullSafe(F.col(names["source"])), "left")
+    content = [F.col(quoted(source)), F.md5(F.col(quoted(text)))]
     rate, part = F.col(names["rate"]), F.col(names["part"])
     parts = F.greatest(F.ceil(rate / F.lit(CHUNK)), F.lit(1)).cast("long")
     chunked = rated.withColumn(names["part"], F.explode(F.sequence(F.lit(1).cast("long"), parts)))
-    count = poisson_inverse(rate / parts, unit_hash(seed, F.col(quoted(key)), part))
+    count = poisson_inverse(rate / parts, unit_hash(seed, F.col(quoted(key)), part, *content))
     copies = chunked.withColumn(names["n"], count).filter(F.col(names["n"]) > 0)
     repeated = copies.select(
         *[F.col(quoted(c)) for c in kept], part, rate.alias("rate"), F.explode(F.sequence(F.lit(1), F.col(names["n"]))).alias("copy")
     )
     # A part holds far fewer than 1000 copies, so this number is the copy's own.
     numbered = repeated.withColumn("copy", ((part - 1) * 1000 + F.col("copy")).cast("long"))
-    order = F.xxhash64(F.lit(f"order {seed}"), F.col(quoted(key)), F.col("copy"))
+    order = F.xxhash64(F.lit(f"order {seed}"), F.col(quoted(key)), F.col("copy"), *content)
     out = numbered.select(*[F.col(quoted(c)) for c in kept], "copy", "rate", order.alias("shuffle_key"))
     return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

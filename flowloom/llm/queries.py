@@ -138,7 +138,7 @@ parts as (
   from documents d join rates r on d.source is not distinct from r.source),
 chunks as (select *, unnest(range(1, parts + 1)) as part from parts),
 numbers as (
-  select *, ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::varchar, ''), part::varchar)), 1, 12))::bigint::double / {1 << 48} as u
+  select *, ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::varchar, ''), part::varchar, coalesce(source, ''), coalesce(md5(text), ''))), 1, 12))::bigint::double / {1 << 48} as u
   from chunks),
 steps as (
   select *, list_reduce([{{'p': exp(-rate / parts), 'c': exp(-rate / parts), 'k': case when u < exp(-rate / parts) then 0 else 1 end, 'l': rate / parts, 'u': u}}]

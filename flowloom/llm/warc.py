@@ -6,7 +6,9 @@ them; `export` writes files where the executors share a file system.
 
 Edge cases: a null payload is empty; payloads below `DEDUP_BYTES` are never revisits; of equal larger payloads the
 record with the largest page id is the response (rows that repeat this id are all responses), also if other ids are
-null; if all ids are null, all are responses. An empty table gives no archive. With too few records for a trained
+null; if all ids are null, all are responses. A record's id comes from page id, digest and URL, and from its place in the
+archives too where its page id is null or repeats; a revisit names the id of its response where that has the first form, and
+always its URL and date. An empty table gives no archive. With too few records for a trained
 dictionary their bytes serve as a raw one. Extra columns are ignored.
 """
 
@@ -35,30 +37,52 @@ LEVEL = 3
 #: Fixed values of the format.
 DICTIONARY_MAGIC, FRAME_MAGIC, VERSION = 0x184D2A5D, 0xFD2FB528, "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+#: What `record` takes of a row.
+COLUMNS = ("id", "url", "payload", "bytes", "digest", "refers_to", "refers_url", "alone", "refers_alone")
 
 
 def planned(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(id, url, payload, bytes, digest, refers_to): what to write for each row."""
+    """`COLUMNS`: what to write for each row; `alone` if no other row has its id, `refers_url` and `refers_alone` of the response."""
     rows = pages.select(F.col(quoted(key)).alias("id"), F.col(quoted(url)).alias("url"), F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"bytes": F.length("payload").cast("long"), "digest": F.sha1("payload")})
     large = rows.filter(F.col("bytes") >= DEDUP_BYTES)
-    first = large.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    lookup = narrow(saved(first.select("digest", "first"), "repeated"))
-    joined = rows.join(lookup, "digest", "left")
+    several = saved(rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated_ids")
+    several = narrow(several.withColumn("several", F.lit(True)))
+    top = F.max(F.struct("id", "url"))
+    first = large.groupBy("digest").agg(top.alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1 and r.id is not null")
+    first = first.select("digest", F.col("r.id").alias("first"), F.col("r.url").alias("first_url"))
+    response = several.select(F.col("id").alias("first"), F.col("several").alias("first_several"))
+    lookup = narrow(saved(first.join(response, "first", "left"), "repeated"))
+    joined = rows.join(lookup, "digest", "left").join(several, "id", "left")
     is_copy = (F.col("bytes") >= DEDUP_BYTES) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return joined.select("id", "url", "payload", "bytes", "digest", F.when(is_copy, F.col("first")).alias("refers_to"))
+    return joined.select(
+        "id", "url", "payload", "bytes", "digest",
+        F.when(is_copy, F.col("first")).alias("refers_to"),
+        F.when(is_copy, F.col("first_url")).alias("refers_url"),
+        (F.col("id").isNotNull() & F.col("several").isNull()).alias("alone"),
+        F.col("first_several").isNull().alias("refers_alone"),
+    )
 
 
-def record(page, url, payload: bytes, size: int, digest: str, refers_to) -> bytes:
-    """One WARC record; a revisit has no block."""
+def one_line(url: str | None) -> str:
+    return "".join(c for c in (url or "") if c not in "\r\n")
+
+
+def record_id(page, target: str, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}:{place}:{target}')}>"
+
+
+def record(page, url, payload: bytes, size: int, digest: str, refers_to, refers_url, alone: bool, refers_alone: bool, place: str) -> bytes:
+    """One WARC record: the payload as an HTTP response, or a revisit without a block. `place` tells records with one id apart."""
     revisit = refers_to is not None
-    block = b"" if revisit else payload
-    target = "".join(c for c in (url or "") if c not in "\r\n")
+    block = b"" if revisit else HTTP_HEAD.format(size).encode() + payload
+    target = one_line(url)
     name = "null" if page is None else str(page)
     lines = [
         VERSION,
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{name}:{target}')}>",
+        f"WARC-Record-ID: {record_id(name, target, digest, '' if alone else place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -67,7 +91,10 @@ def record(page, url, payload: bytes, size: int, digest: str, refers_to) -> byte
     ]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
+        if refers_alone:
+            lines.append(f"WARC-Refers-To: {record_id(refers_to, one_line(refers_url), digest)}")
+        lines += [f"WARC-Refers-To-Target-URI: {one_line(refers_url)}", f"WARC-Refers-To-Date: {DATE}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -84,6 +111,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def payload_of(block: bytes) -> bytes:
+    """The body of an HTTP response."""
+    head, end, body = block.partition(b"\r\n\r\n")
+    if not head.startswith(b"HTTP/") or not end:
+        raise ValueError("the block isn't an HTTP response")
+    return body
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     for i in range(batch.num_rows):
         yield tuple(column[i].as_py() for column in batch.columns)
@@ -95,7 +130,7 @@ def build_dictionary(plan: DataFrame) -> bytes:
     drawn = plan.filter(unit_hash("warc", F.col("id"), F.col("digest")) < min(1.0, DICTIONARY_RECORDS / max(n, 1))).limit(2 * DICTIONARY_RECORDS)
     found, total = [], 0
     for row in drawn.toLocalIterator():
-        found.append(record(*row))
+        found.append(record(*row, ""))
         total += len(found[-1])
         if total > DICTIONARY_SAMPLE_BYTES:
             break
@@ -112,7 +147,7 @@ def write(plan: DataFrame, dictionary: bytes) -> DataFrame:
     """(archive, chunk, data): one archive per task, in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, chunk, frames, size = f"part-{TaskContext.get().partitionId():06d}.warc.zst", 0, [], 0
+        archive, chunk, frames, size, number = f"part-{TaskContext.get().partitionId():06d}.warc.zst", 0, [], 0, 0
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
 
         def out(data: bytes) -> pa.RecordBatch:
@@ -123,7 +158,8 @@ def write(plan: DataFrame, dictionary: bytes) -> DataFrame:
                 if chunk == 0:
                     yield out(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                     chunk = 1
-                frames.append(packer.compress(record(*row)))
+                number += 1
+                frames.append(packer.compress(record(*row, f"{archive}/{number}")))
                 size += len(frames[-1])
                 if size >= CHUNK_BYTES:
                     yield out(b"".join(frames))
@@ -183,6 +219,7 @@ def read(archives: DataFrame) -> DataFrame:
                     headers, block = parse(unpackers.get(own, plain).decompress(frame))
                     digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     revisit = headers["WARC-Type"] == "revisit"
+                    block = block if revisit else payload_of(block)
                     if not revisit and hashlib.sha1(block).hexdigest() != digest:
                         raise ValueError("the payload's digest is wrong")
                     page, refers = headers["X-Page-ID"], headers.get("X-Refers-To-Page-ID")

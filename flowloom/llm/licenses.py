@@ -1,8 +1,10 @@
 """Licence scan with DataFrame functions only: TF-IDF cosine to templates, then nearest-ancestor inheritance.
 
-Every line and sentence of every file is a header candidate; it is compared with the templates by the cosine of TF-IDF
+Every line and sentence of every file is a header candidate, and every sentence that runs over several lines of a paragraph
+too, with the marks of comments left out; it is compared with the templates by the cosine of TF-IDF
 vectors. Inverse document frequencies of the templates' words come from all candidates of the corpus; a word that no
-template has weighs as much as the rarest. A file's licence is its best candidate's. A file without one takes the
+template has weighs as much as the rarest. A file's licence is its best candidate's; a mere notice of rights counts only where no
+licence is named. A file without one takes the
 licence of the nearest directory above it (or its own) that holds a licence file.
 
 Edge cases: null and empty texts have no candidates; a null path has no directory, so nothing is inherited. Ties go to
@@ -30,11 +32,17 @@ TEMPLATES = {
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "You can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "GPL": ["You can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GNU General Public License"],
+    "GPL-2.0": ["You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version", "This work is licensed under the GNU General Public License, version 2"],
+    "GPL-3.0": ["You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "This work is licensed under the GNU General Public License, version 3"],
     "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "Proprietary": ["All rights reserved"],
 }
+#: Notices that lose to any licence.
+GENERIC = ("Proprietary",)
+#: Ends of a line or sentence, and of a paragraph or sentence.
+LINE, PARAGRAPH = r"\n|(?<=[.!?;|])\s+", r"\n[^\p{L}\p{N}\n]*\n|(?<=[.!?;|])\s+"
 
 
 def words_in(text: str) -> list[str]:
@@ -42,8 +50,9 @@ def words_in(text: str) -> list[str]:
 
 
 def candidates(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(id, known, words): template words and all words of every line or sentence with a word."""
-    segment = F.explode(F.split(F.col("text"), r"\n|(?<=[.!?;|])\s+"))
+    """(id, known, words): template words and all words of every line, sentence or wrapped sentence with a word."""
+    wrapped = F.filter(F.split(F.col("text"), PARAGRAPH), lambda s: F.contains(s, F.lit("\n")))
+    segment = F.explode(F.concat(F.split(F.col("text"), LINE), wrapped))
     words = F.split(F.trim(normalized(F.col("segment"))), " ")
     split = files.select("id", segment.alias("segment")).filter("segment <> ''").select("id", words.alias("words"))
     return split.select("id", "words", F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("known"))
@@ -95,8 +104,9 @@ def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES)
     weighted = terms.join(known, "w", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     dots = [F.sum(F.col("v") * F.coalesce(F.col("t")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(vectors))]
     sums = weighted.groupBy("id", "at").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), *dots)
-    options = F.array(*[F.struct((-F.round(F.col(f"d{i}") / F.col("norm"), 9)).alias("c"), F.lit(name).alias("license")) for i, (name, _) in enumerate(vectors)])
-    scored = sums.select("id", F.array_min(options).alias("b")).filter(F.col("b.c") <= -COSINE)
+    cosine = [F.round(F.col(f"d{i}") / F.col("norm"), 9) for i in range(len(vectors))]
+    options = [F.when(c >= COSINE, F.struct(F.lit(name in GENERIC).alias("g"), (-c).alias("c"), F.lit(name).alias("license"))) for c, (name, _) in zip(cosine, vectors, strict=True)]
+    scored = sums.select("id", F.array_min(F.array(*options)).alias("b")).filter("b is not null")
     return scored.groupBy("id").agg(F.min("b").alias("b")).select("id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
@@ -107,7 +117,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     places = named.select("id", "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
     judged = saved(places.join(narrow(own), "id", "left"), "judged")
     holders = judged.filter(F.col("name").rlike(LICENSE_FILE) & F.col("license").isNotNull())
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l")))
+    best = F.min(F.struct(F.col("license").isin(*GENERIC).alias("g"), (-F.col("cosine")).alias("c"), F.col("license").alias("l")))
     dirs = holders.groupBy("dir").agg(best.alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.l").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine"))
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, 1, i), "/").alias("from_dir")))

@@ -3,7 +3,9 @@
 Edge cases: a text that is null or holds no letter is `und` with score 0. Training rows without a label, text or
 letter are passed over; without any training row everything is `und`. Labels are learned as they are, so ties in the
 scores go to the first label in sorted order. Repeated rows count as often as they occur. Texts are read whole,
-however long. Columns named like an output are replaced by it; all other columns stay.
+however long. `known` tells texts whose n-grams are about as common as those of the training rows; gibberish and
+unlearned languages have rarer ones. A short text is taken for an ordinary one as far as its n-grams are few, a text without
+letters is not known, and without a training row nothing is. Columns named like an output are replaced by it; all other columns stay.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ ORDERS = (1, 2, 3)
 FIT_ROWS = 6_000
 CALIBRATION_SHARE = 0.2
 EPOCHS = 2
+#: N-grams that a text needs for its own rarity to weigh as much as the usual one, and how far above the rarest of the sample
+#: it may be, as a share of that one's distance from the usual.
+FEW, BEYOND = 60, 0.25
 
 
 @dataclass
@@ -38,6 +43,18 @@ class LanguageModel:
     weights: np.ndarray
     intercepts: np.ndarray
     temperature: float
+    usual: float = 0.0
+    limit: float = 0.0
+
+
+def rarity(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, sum of their weights) per text."""
+    return counts.sum(axis=1).astype(np.float64), counts @ idf
+
+
+def shrunk(n: np.ndarray, total: np.ndarray, usual: float) -> np.ndarray:
+    """Mean weight of a text's n-grams, where `FEW` more of the usual weight are added."""
+    return (total + FEW * usual) / (n + FEW)
 
 
 def counts_of(column: pa.Array) -> np.ndarray:
@@ -95,14 +112,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, name, 1 << 19, 128):
-            dense = tfidf(counts_of(part.column(1)), idf)
+            counts = counts_of(part.column(1))
+            dense, (n, total) = tfidf(counts, idf), rarity(counts, idf)
             slot = [np.flatnonzero(row).astype(np.int32) for row in dense]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s.tobytes() for s in slot], pa.binary()), pa.array([row[s].tobytes() for row, s in zip(dense, slot, strict=True)], pa.binary())],
-                names=["label", "slots", "row"],
+                [part.column(0), pa.array([s.tobytes() for s in slot], pa.binary()), pa.array([row[s].tobytes() for row, s in zip(dense, slot, strict=True)], pa.binary()), pa.array(n), pa.array(total)],
+                names=["label", "slots", "row", "n", "total"],
             )
 
-    drawn = sample.mapInArrow(vectors, "label string, slots binary, row binary").toArrow().to_pylist()
+    drawn = sample.mapInArrow(vectors, "label string, slots binary, row binary, n double, total double").toArrow().to_pylist()
     drawn.sort(key=lambda r: (r["slots"], r["row"], r["label"]))
     order = np.random.default_rng(0).permutation(len(drawn))
     held = int(len(drawn) * CALIBRATION_SHARE) if len(drawn) >= 10 * len(languages) else 0
@@ -115,26 +133,37 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     weights, intercepts = model.dense()
     scores = np.array([values @ weights[slots] + intercepts for slots, values, _ in rows_in[:held]]).reshape(held, len(languages))
     fitted = temperature(scores, np.array([target for *_, target in rows_in[:held]], dtype=np.int64))
-    return LanguageModel(languages, idf, weights.astype(np.float32), intercepts, fitted)
+    grams, totals = (np.array([r[c] for r in drawn]) for c in ("n", "total"))
+    usual = float(totals.sum() / max(grams.sum(), 1))
+    rarest = float(shrunk(grams, totals, usual).max(initial=usual))
+    return LanguageModel(languages, idf, weights.astype(np.float32), intercepts, fitted, usual, rarest + BEYOND * (rarest - usual))
+
 
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", language: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """`docs` with the likeliest language of each whole text and its calibrated probability.
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """`docs` with the likeliest language of each whole text and its calibrated probability."""
-    kept = [c for c in docs.columns if c.lower() not in (language.lower(), score.lower())]
+    `known` names one more column: whether the text's n-grams are as common as those of learned texts.
+    """
+    added = [(language, T.StringType()), (score, T.DoubleType()), *([(known, T.BooleanType())] if known else [])]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n, _ in added}]
     rows, name = prepared(docs, text, kept)
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(*a) for a in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, name, 1 << 19, 128):
             column = part.column(part.num_columns - 1)
-            best, sure = ["und"] * part.num_rows, np.zeros(part.num_rows)
+            best, sure, common = ["und"] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, dtype=bool)
             if model.languages:
-                scores = tfidf(counts_of(column), model.idf) @ model.weights + model.intercepts
+                counts = counts_of(column)
+                scores = tfidf(counts, model.idf) @ model.weights + model.intercepts
                 chance = softmax(scores / model.temperature)
-                known = column.is_valid().to_numpy(zero_copy_only=False)
-                sure = np.where(known, chance.max(axis=1), 0.0)
-                best = [model.languages[i] if k else "und" for i, k in zip(chance.argmax(axis=1), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(best, pa.string()), pa.array(sure, pa.float64())], names=[*kept, language, score])
+                spelled = column.is_valid().to_numpy(zero_copy_only=False)
+                if known:
+                    common = spelled & (shrunk(*rarity(counts, model.idf), model.usual) <= model.limit)
+                sure = np.where(spelled, chance.max(axis=1), 0.0)
+                best = [model.languages[i] if k else "und" for i, k in zip(chance.argmax(axis=1), spelled, strict=True)]
+            found = [pa.array(best, pa.string()), pa.array(sure, pa.float64()), *([pa.array(common)] if known else [])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=[*kept, *[n for n, _ in added]])
 
     return rows.mapInArrow(run, schema)
 

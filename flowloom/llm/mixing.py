@@ -68,20 +68,21 @@ def mix(
     """
     added = ("copy", "rate", "shuffle_key")
     kept = [c for c in docs.columns if c.lower() not in added]
-    names = {n: fresh(docs, f"_mix_{n}") for n in ("source", "rate", "part", "n")}
+    names = {n: fresh(docs, f"_mix_{n}") for n in ("source", "rate", "part", "n", "mark")}
     lookup = narrow(saved(rates(docs, source, total, weights), "rates")).select(
         F.col("_source").alias(names["source"]), F.col("_rate").alias(names["rate"])
     )
-    rows = docs.select(*[F.col(quoted(c)) for c in kept])
+    # the text's hash is a column of its own below the explosion, so that it is taken once a row
+    rows = docs.select(*[F.col(quoted(c)) for c in kept], F.md5(F.col(quoted(text))).alias(names["mark"]))
     rated = rows.join(lookup, rows[quoted(source)].eqNullSafe(F.col(names["source"])), "left")
-    content = [F.col(quoted(source)), F.md5(F.col(quoted(text)))]
+    content = [F.col(quoted(source)), F.col(names["mark"])]
     rate, part = F.col(names["rate"]), F.col(names["part"])
     parts = F.greatest(F.ceil(rate / F.lit(CHUNK)), F.lit(1)).cast("long")
     chunked = rated.withColumn(names["part"], F.explode(F.sequence(F.lit(1).cast("long"), parts)))
     count = poisson_inverse(rate / parts, unit_hash(seed, F.col(quoted(key)), part, *content))
     copies = chunked.withColumn(names["n"], count).filter(F.col(names["n"]) > 0)
     repeated = copies.select(
-        *[F.col(quoted(c)) for c in kept], part, rate.alias("rate"), F.explode(F.sequence(F.lit(1), F.col(names["n"]))).alias("copy")
+        *[F.col(quoted(c)) for c in kept], names["mark"], part, rate.alias("rate"), F.explode(F.sequence(F.lit(1), F.col(names["n"]))).alias("copy")
     )
     # A part holds far fewer than 1000 copies, so this number is the copy's own.
     numbered = repeated.withColumn("copy", ((part - 1) * 1000 + F.col("copy")).cast("long"))

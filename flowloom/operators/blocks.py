@@ -219,6 +219,20 @@ def label_block_matrix(df: DataFrame, block_ids: Sequence[int]) -> DataFrame:
     return df.groupBy("label").pivot("block_id", list(block_ids)).count().na.fill(0).orderBy("label")
 
 
+def matrix_lines(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(row, cells): a line per row with its values in column order, joined by commas; a cell that is missing is 0.
+
+    Any number of columns fits, since none becomes a column of the table.
+    """
+    columns = cells.select(c(column).alias("_column")).distinct().agg(F.array_sort(F.collect_list("_column"))).scalar()
+    rows = cells.select(c(row).alias("_row")).distinct().withColumn("_columns", columns)
+    zeros = rows.select("_row", F.explode("_columns").alias("_column"), F.lit(0).cast("long").alias("_n"))
+    given = cells.select(c(row).alias("_row"), c(column).alias("_column"), c(value).cast("long").alias("_n"))
+    full = given.unionByName(zeros).groupBy("_row", "_column").agg(F.sum("_n").alias("_n"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("_column", "_n"))), lambda p: p["_n"].cast("string"))
+    return full.groupBy("_row").agg(F.concat_ws(",", line).alias("cells")).select(F.col("_row").alias(row), "cells")
+
+
 def feature_block_matrix(blocks: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(field, block_id, present) for all fields seen in any block."""
     every = F.array(*[F.lit(n) for n in fields])

@@ -144,6 +144,15 @@ def upper_layer_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def upper_layer_table(
+    summary: DataFrame, splits: Sequence[str], dataset: str = "dataset", split: str = "split"
+) -> DataFrame:
+    """One row per data set with total, kept, removed and removed_ratio of every split; a split it lacks is null."""
+    figures = ("total", "kept", "removed", "removed_ratio")
+    cells = [F.max(F.when(c(split) == s, c(f))).alias(f"{s}_{f}") for s in splits for f in figures]
+    return summary.groupBy(dataset).agg(*cells)
+
+
 def drop_repeated_headers(df: DataFrame, label: str = "label") -> DataFrame:
     return df.filter(c(label) != label)
 

@@ -178,6 +178,21 @@ def cm_percent(cm: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def cm_table(cm: DataFrame, labels: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """The matrix as a table: a row per class (`actual_id`, `actual_label`), a column per predicted label.
+
+    `labels` are the class names by id; `extra` names predicted ids beyond the classes ("unknown"). Cells without a row
+    are 0.
+    """
+    names = [*labels, *extra]
+    if len({n.lower() for n in [*names, "actual_id", "actual_label"]}) < len(names) + 2:
+        raise ValueError("labels must differ from each other and from actual_id and actual_label, also in lower case")
+    wide = cm.groupBy("actual").pivot("predicted", list(range(len(names)))).agg(F.sum("n"))
+    counts = [F.coalesce(c(str(i)), F.lit(0)).cast("long").alias(name) for i, name in enumerate(names)]
+    label = F.array(*[F.lit(x) for x in labels])[F.col("actual")]
+    return wide.select(F.col("actual").alias("actual_id"), label.alias("actual_label"), *counts)
+
+
 def cm_subset(cms: DataFrame, labels: Sequence, matrix: str = "matrix_id") -> DataFrame:
     """Rows and columns of the wanted labels that every matrix has, with their positions in list order.
 

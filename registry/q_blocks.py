@@ -214,6 +214,32 @@ def feature_block_matrix(spark, sf_dir):
     return blocks.feature_block_matrix(blocks.block_table(packets(spark, sf_dir), FIELDS), FIELDS)
 
 
+@query(
+    "label_block_lines",
+    views(
+        "select label, string_agg(n::varchar, ',' order by block_id) as cells from (select l.label, b.block_id, "
+        "count(r.packet_id) as n from (select distinct label from r) l cross join b left join r "
+        "on r.label = l.label and r.block_id = b.block_id group by 1, 2) group by label"
+    ),
+)
+def label_block_lines(spark, sf_dir):
+    counts = blocks.label_block_counts(block_rows(spark, sf_dir)[0])
+    return blocks.matrix_lines(counts, "label", "block_id", "n")
+
+
+@query(
+    "field_block_lines",
+    views(
+        "select field, string_agg(present::varchar, ',' order by block_id) as cells from (select f.field, b.block_id, "
+        "list_contains(b.schema, f.field)::int as present from b cross join "
+        f"(select unnest([{', '.join(repr(n) for n in FIELDS)}]) as field) f) group by 1"
+    ),
+)
+def field_block_lines(spark, sf_dir):
+    present = blocks.feature_block_matrix(blocks.block_table(packets(spark, sf_dir), FIELDS), FIELDS)
+    return blocks.matrix_lines(present, "field", "block_id", "present")
+
+
 @query(
     "top_fields",
     views(

@@ -193,6 +193,30 @@ def upper_layer_summary(spark, sf_dir):
     )
 
 
+def _split_figures(split: str) -> str:
+    inside, kept = f"split = '{split}'", f"({_UPPER_SQL})"
+    total, gone = f"count(*) filter (where {inside})", f"count(*) filter (where {inside} and not {kept})"
+    return (
+        f"nullif({total}, 0) as {split}_total, case when {total} > 0 then count(*) filter (where {inside} and {kept}) end "
+        f"as {split}_kept, case when {total} > 0 then {gone} end as {split}_removed, "
+        f"case when {total} > 0 then round({gone} / {total}::double, 6) end as {split}_removed_ratio"
+    )
+
+
+@query(
+    "upper_layer_table",
+    with_views(
+        "select label, " + ", ".join(map(_split_figures, ("train", "validation", "test"))) + " from p group by 1",
+        "packets",
+        p=f"select *, {SPLIT} as split from packets",
+    ),
+)
+def upper_layer_table(spark, sf_dir):
+    df = packets(spark, sf_dir).withColumn("split", F.expr(SPLIT))
+    summary = columns.upper_layer_summary(df, ["label", "split"]).withColumn("removed_ratio", F.round("removed_ratio", 6))
+    return columns.upper_layer_table(summary, ("train", "validation", "test"), dataset="label")
+
+
 @query(
     "drop_unseen_labels",
     with_views(

@@ -368,6 +368,20 @@ def cm_percent(spark, sf_dir):
     return rounded(metrics.cm_percent(packet_cm(spark, sf_dir)))
 
 
+@query(
+    "cm_table",
+    with_views(
+        "select actual as actual_id, [" + ", ".join(f"'{x}'" for x in LABELS) + "][actual + 1] as actual_label, "
+        + ", ".join(f"sum(case when predicted = {i} then n else 0 end)::bigint as {x}" for i, x in enumerate(LABELS))
+        + " from cm group by 1, 2",
+        "scores",
+        cm=PACKET_CM,
+    ),
+)
+def cm_table(spark, sf_dir):
+    return metrics.cm_table(packet_cm(spark, sf_dir), LABELS)
+
+
 _WANTED = ["view", "click", "absent", "purchase"]
 _NAMES = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 

@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval, then subsequence and answer checks.
 
 Documents are cut into overlapping passages of two blocks of `STRIDE` words. Term weights are inverse document
-frequencies over all documents. A randomised SVD of the TF-IDF rows of the benchmark's items and of a bounded sample of
-passages gives every benchmark word a latent vector and so a score for every item; a passage whose latent dot product
-with an item is large enough for what a passage can hold of that item is a candidate.
+frequencies over all documents. A randomised SVD of the TF-IDF rows of the benchmark's items and of all passages gives
+every benchmark word a latent vector and so a score for every item; a passage whose latent dot product with an item is
+large enough for what a passage can hold of that item is a candidate. The passages' rows are multiplied by a random
+matrix of one sign per passage (`BUCKETS` rows): the scan that counts the words adds every passage to one of these rows.
 Candidates are verified on the words around the passage: by the longest common subsequence with the item, and, where
 that leaves room for a paraphrase, by the item's closing words, which hold its answer.
 
 Each SVD covers `FIT_ITEMS` items, fewer than its rank, so that the basis keeps them however large the benchmark is.
-A pass over the documents takes about `ITEMS` items, so what a task needs is bounded.
+The documents are read twice for every `ITEMS` items or so, so what a task needs is bounded.
 
 Edge cases: null and empty texts, and items without words, match nothing. Items of fewer than `SHORT` words must occur
 whole and are looked up by their own words, without the SVD. Repeated items and documents are judged alike. Columns named like an output are replaced by it; all other columns
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import fresh, quoted, saved, slices, summed, unit_hash
+from flowloom.llm.common import fresh, quoted, saved, slices, unit_hash
 from flowloom.llm.text import PRIME, mix, normalized, words_of
 
-SLOTS = 1 << 17
 STRIDE = 24
-RANK, OVERSAMPLE, ROUNDS = 160, 8, 2
-#: Bound of the passages the SVD is fitted on, besides the items.
+RANK = 160
+#: Rows of the sketch of all passages.
+BUCKETS = 128
+#: Passages that `fit_rows` draws.
 FIT_PASSAGES = 6_000
 #: Items of a pass over the documents, and of an SVD: half of its rank, which leaves the other half to the passages.
 ITEMS, FIT_ITEMS = 2_000, 80
@@ -43,6 +45,16 @@ COPY, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.75, 0.5, 6, 0.6
 SHORT = 8
 
 
+@dataclass
+class Corpus:
+    """What an SVD needs of all documents: sorted words, documents that hold each, a sketch row per word, all documents."""
+
+    words: np.ndarray
+    frequency: np.ndarray
+    sketch: np.ndarray
+    n_docs: int
+
+
 @dataclass
 class Block:
     """The items of one SVD: sorted words, a score per word and item, and the least sum of a candidate passage."""
@@ -63,28 +75,6 @@ class Index:
     texts: list[np.ndarray]
 
 
-def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int, int]:
-    """(documents per hashed word, documents, words) over all documents."""
-    rows = docs.select(normalized(F.col(quoted(text))).alias("t"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(SLOTS + 2, dtype=np.int64)
-        for part in slices(batches, "t"):
-            words, offsets = words_of(part.column(0))
-            owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-            pair = np.sort(owner * SLOTS + (words % np.uint64(SLOTS)).astype(np.int64))
-            first = np.ones(len(pair), dtype=bool)
-            first[1:] = pair[1:] != pair[:-1]
-            found[:SLOTS] += np.bincount(pair[first] % SLOTS, minlength=SLOTS)
-            found[SLOTS] += part.num_rows
-            found[SLOTS + 1] += len(words)
-        slot = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(found[slot])], names=["slot", "n"])
-
-    sums = summed(rows.mapInArrow(count, "slot long, n long"), SLOTS + 2)
-    return sums[:SLOTS], int(sums[SLOTS]), int(sums[SLOTS + 1])
-
-
 def blocks_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, text) of every block of `STRIDE` words."""
     counts = -(-np.diff(offsets) // STRIDE)
@@ -123,48 +113,79 @@ def joined(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return total, at
 
 
-def singular_vectors(rows: DataFrame, vocabulary: np.ndarray, weights: np.ndarray, scale: float) -> np.ndarray:
-    """Right singular vectors (words x rank) of the TF-IDF rows by randomised subspace iteration, one job a round.
-
-    `rows` has `t` (normalised text) and `whole` (an item: one row, weighted by `scale`; else one row per passage).
-    """
-    width = min(RANK + OVERSAMPLE, len(vocabulary))
-    basis = np.random.default_rng(5).standard_normal((len(vocabulary), width))
-
-    def product(basis: np.ndarray) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(basis)
-            for part in slices(batches, "t", 1 << 18):
-                words, offsets = words_of(part.column(0))
-                whole = part.column(1).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-                hit = vocabulary[at] == words
-                for i in range(part.num_rows):
-                    a, b = offsets[i], offsets[i + 1]
-                    for begin in [a] if whole[i] else range(a, max(b - STRIDE, a + 1), STRIDE):
-                        span = slice(begin, b if whole[i] else min(begin + 2 * STRIDE, b))
-                        slot, n = np.unique(at[span][hit[span]], return_counts=True)
-                        if len(slot):
-                            value = n * weights[slot]
-                            value = value / np.linalg.norm(value) * (scale if whole[i] else 1.0)
-                            total[slot] += value[:, None] * (value @ basis[slot])[None, :]
-            flat = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(total.ravel()[flat])], names=["slot", "n"])
-
-        return summed(rows.mapInArrow(run, "slot long, n double"), basis.size).reshape(basis.shape)
-
-    for _ in range(ROUNDS):
-        basis, _ = np.linalg.qr(basis)
-        image = product(basis)
-        inner = basis.T @ image
-        values, turn = np.linalg.eigh((inner + inner.T) / 2)
-        vectors = basis @ turn[:, np.argsort(-values)[:RANK]]
-        basis = image
-    return vectors
+def corpus_of(docs: DataFrame, vocabulary: np.ndarray, text: str, key: str) -> Corpus:
+    """Counts and sketch over all documents and passages. A passage's row has each word's count over the root of its own words'
+    number; it is added, with a random sign, to the bucket its id, text and place give."""
+    rows = docs.select(F.xxhash64(quoted(key), quoted(text)).alias("h"), normalized(F.col(quoted(text))).alias("t"))
+    size = len(vocabulary)
+    schema = "word long, n long, row binary"
+
+    def batch(frequency: np.ndarray, sketch: np.ndarray, kind: type) -> pa.RecordBatch:
+        word = np.flatnonzero(frequency)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(word), pa.array(frequency[word]), pa.array([r.tobytes() for r in sketch[word].astype(kind)], pa.binary())], names=["word", "n", "row"]
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last entry counts the documents
+        frequency, sketch = np.zeros(size + 1, dtype=np.int64), np.zeros((size + 1) * BUCKETS)
+        for part in slices(batches, "t", max_rows=256):
+            frequency[size] += part.num_rows
+            words, offsets = words_of(part.column(1))
+            if not len(words):
+                continue
+            at = np.minimum(np.searchsorted(vocabulary, words), size - 1)
+            hit = np.flatnonzero(vocabulary[at] == words)
+            slot = at[hit]
+            starts, owner = blocks_of(offsets)
+            block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))[hit]
+            held = np.zeros((part.num_rows, size), dtype=bool)
+            held[owner[block], slot] = True
+            frequency[:size] += held.sum(axis=0)
+            total, begins = joined(np.bincount(block, minlength=len(starts)), owner)
+            ids = part.column(0).to_numpy().view(np.uint64)
+            draw = mix(mix(ids[owner[begins]]) + (starts[begins] - offsets[owner[begins]]).astype(np.uint64))
+            weight, bucket = np.zeros(len(starts)), np.zeros(len(starts), dtype=np.int64)
+            weight[begins] = np.where(draw >> np.uint64(63), 1.0, -1.0) / np.sqrt(np.maximum(total, 1))
+            bucket[begins] = (draw % np.uint64(BUCKETS)).astype(np.int64)
+            row = slot * BUCKETS
+            np.add.at(sketch, row + bucket[block], weight[block])
+            # a block is also the second one of the passage that begins before it
+            second = np.flatnonzero((block > 0) & (owner[block - 1] == owner[block]))
+            before = block[second] - 1
+            np.add.at(sketch, row[second] + bucket[before], weight[before])
+        yield batch(frequency, sketch.reshape(size + 1, BUCKETS), np.float32)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency, sketch = np.zeros(size + 1, dtype=np.int64), np.zeros((size + 1, BUCKETS))
+        for part in batches:
+            word = part.column(0).to_numpy()
+            np.add.at(frequency, word, part.column(1).to_numpy())
+            for w, row in zip(word.tolist(), part.column(2).to_pylist(), strict=True):
+                sketch[w] += np.frombuffer(row, np.float32)
+        yield batch(frequency, sketch, np.float64)
+
+    found = rows.mapInArrow(count, schema).repartition("word").mapInArrow(add, schema).toArrow()
+    frequency, sketch = np.zeros(size + 1, dtype=np.int64), np.zeros((size + 1, BUCKETS))
+    word = found.column(0).to_numpy()
+    frequency[word] = found.column(1).to_numpy()
+    for w, row in zip(word.tolist(), found.column(2), strict=True):
+        sketch[w] = np.frombuffer(row.as_buffer(), np.float64)
+    return Corpus(vocabulary, frequency[:size], sketch[:size], int(frequency[size]))
+
+
+def singular_vectors(passages: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Right singular vectors (words x rank) of the sketched TF-IDF rows of all passages and those of the items; the items weigh
+    as much as the passages altogether."""
+    energy = float((passages * passages).sum())
+    unit = items / np.linalg.norm(items, axis=1, keepdims=True)
+    rows = np.vstack([passages, unit * (np.sqrt(energy / len(items)) if energy else 1.0)])
+    _, values, vectors = np.linalg.svd(rows, full_matrices=False)
+    return vectors[:RANK][values[:RANK] > 1e-9 * values[0]].T
 
 
 def fit_rows(docs: DataFrame, n_words: int, text: str, key: str) -> DataFrame:
-    """The sample of texts that every SVD is fitted on besides its items."""
+    """A sample of texts to try things on; no operator takes it, an SVD is fitted on all passages."""
     share = min(1.0, FIT_PASSAGES * STRIDE / max(n_words, 1))
     sample = docs.filter(unit_hash("svd", F.col(quoted(key))) < share).select(normalized(F.col(quoted(text))).alias("t"), F.lit(False).alias("whole")).filter("t is not null")
     # only the drawn rows move; the scan keeps its own tasks
@@ -176,14 +197,13 @@ def reach(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.minimum(n, (n + STRIDE) / 2), 2 * STRIDE)
 
 
-def build(sample: DataFrame, items: list[tuple], texts: list[np.ndarray], statistics: tuple[np.ndarray, int, int]) -> Block:
-    """The scores of one SVD's items (id, normalised text)."""
-    frequency, n_docs, _ = statistics
-    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+def build(texts: list[np.ndarray], corpus: Corpus) -> Block:
+    """The scores of one SVD's items (hashed words)."""
     vocabulary = np.unique(np.concatenate(texts))
-    weights = idf[(vocabulary % np.uint64(SLOTS)).astype(np.int64)]
-    own = sample.sparkSession.createDataFrame([(t, True) for _, t in items], "t string, whole boolean")
-    vectors = singular_vectors(sample.unionByName(own), vocabulary, weights, max(1.0, (FIT_PASSAGES / len(items)) ** 0.5))
+    own = np.searchsorted(corpus.words, vocabulary)
+    weights = np.log((1 + corpus.n_docs) / (1 + corpus.frequency[own])) + 1
+    counts = np.array([np.bincount(np.searchsorted(vocabulary, t), minlength=len(vocabulary)) for t in texts])
+    vectors = singular_vectors(corpus.sketch[own].T * weights, counts * weights)
     lifted = vectors * weights[:, None]
     places = [np.searchsorted(vocabulary, t) for t in texts]
     scores = (lifted @ np.array([lifted[at].sum(axis=0) for at in places]).T).astype(np.float32)
@@ -290,16 +310,15 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item: st
     passes = -(-items.count() // ITEMS)
     if not passes:
         return
-    statistics = frequencies(docs, text)
-    sample = fit_rows(docs, statistics[2], text, key)
     for b in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == b).toArrow()
         own = sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True), key=lambda row: (row[1].count(" ") + 1 >= SHORT, str(row)))
         texts = [words_of(pa.array([t]))[0] for _, t in own]
         long = np.arange(sum(len(t) < SHORT for t in texts), len(own))
         parts = [slice(part[0], part[-1] + 1) for part in np.array_split(long, -(-len(long) // FIT_ITEMS) or 1) if len(part)]
+        corpus = corpus_of(docs, np.unique(np.concatenate([texts[i] for i in long])), text, key) if parts else None
         if own:
-            yield Index(*short_items(texts), [build(sample, own[p], texts[p], statistics) for p in parts], [i for i, _ in own], texts)
+            yield Index(*short_items(texts), [build(texts[p], corpus) for p in parts], [i for i, _ in own], texts)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:

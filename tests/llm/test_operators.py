@@ -224,6 +224,27 @@ def test_sample_is_drawn_in_the_tables_own_tasks(spark, monkeypatch):
     assert "Coalesce" not in plans[0] and "Exchange RoundRobin" in plans[0]
 
 
+def test_every_passage_is_in_the_fit(spark):
+    texts = [" ".join(f"w{(i * 7 + j) % 400}" for j in range(n)) for i, n in enumerate(range(1, 300))]
+    docs = spark.createDataFrame([(None if i % 3 else 1, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    vocabulary = np.unique(leaks.words_of(pa.array([" ".join(f"w{i}" for i in range(0, 400, 2))]))[0])
+    held, gram = np.zeros(200), np.zeros((200, 200))
+    for t in texts:
+        words = leaks.words_of(pa.array([t]))[0]
+        held += np.isin(vocabulary, words)
+        for begin in range(0, max(len(words) - leaks.STRIDE, 1), leaks.STRIDE):
+            near = words[begin : begin + 2 * leaks.STRIDE]
+            row = (near[:, None] == vocabulary).sum(axis=0)
+            gram += np.outer(row, row) / max(row.sum(), 1)
+    one, many = (leaks.corpus_of(docs.repartition(n), vocabulary, "text", "doc_id") for n in (1, 5))
+    assert one.n_docs == 301 and (one.frequency == held).all() and (many.frequency == held).all()
+    assert np.allclose(one.sketch, many.sketch, atol=1e-4) and one.sketch.any(axis=1).all()
+    # the sketch has the passages' products in the mean
+    assert 0.8 < np.trace(one.sketch @ one.sketch.T) / np.trace(gram) < 1.25
+    top = np.linalg.eigh(gram)[1][:, -1]
+    assert 0.7 < (top @ one.sketch @ one.sketch.T @ top) / (top @ gram @ top) < 1.4
+
+
 def test_leaks_of_short_items(spark):
     draw = np.random.default_rng(6)
     chance = 1 / np.arange(10, 1010)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import fresh, quoted, returns_memory, slices, summed, unit_hash
+from flowloom.llm.common import fresh, quoted, returns_memory, slices, summed, trim_memory, unit_hash
 from flowloom.llm.learn import FTRL, softmax, temperature
 from flowloom.llm.text import char_grams, letters
 
@@ -95,8 +95,8 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from the rows of `docs`, all of which are training rows.
 
-    Weights and temperature come from at most about `rows` rows, drawn by hash with equal shares per language; the
-    number of languages must be small (their counts reach the driver).
+    Weights and temperature come from at most about `rows` rows, drawn by hash with equal shares per language; one task trains
+    on them, and only the model reaches the driver. The number of languages must be small (their counts reach the driver).
     """
     known = docs.filter(F.col(quoted(label)).isNotNull() & F.col(quoted(text)).rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in known.groupBy(quoted(label)).count().collect()}
@@ -110,30 +110,41 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     draw = unit_hash("langid", F.col(quoted(key)), F.xxhash64(quoted(text)))
     sample, name = prepared(known.filter(draw < share[F.col(quoted(label))]).limit(2 * each * len(languages)), text, [label])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = []
         for part in slices(batches, name, 1 << 19, 128):
             counts = counts_of(part.column(1))
-            dense, (n, total) = tfidf(counts, idf), rarity(counts, idf)
-            slot = [np.flatnonzero(row).astype(np.int32) for row in dense]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s.tobytes() for s in slot], pa.binary()), pa.array([row[s].tobytes() for row, s in zip(dense, slot, strict=True)], pa.binary()), pa.array(n), pa.array(total)],
-                names=["label", "slots", "row", "n", "total"],
-            )
-
-    drawn = sample.mapInArrow(vectors, "label string, slots binary, row binary, n double, total double").toArrow().to_pylist()
-    drawn.sort(key=lambda r: (r["slots"], r["row"], r["label"]))
+            for row, n, total, lang in zip(tfidf(counts, idf), *rarity(counts, idf), part.column(0).to_pylist(), strict=True):
+                slots = np.flatnonzero(row).astype(np.int32)
+                drawn.append((slots, row[slots], languages.index(lang), float(n), float(total)))
+        model = _train(drawn, languages, idf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercepts.tobytes()], pa.binary()), *(pa.array([x]) for x in (model.temperature, model.usual, model.limit))],
+            names=["weights", "intercepts", "temperature", "usual", "limit"],
+        )
+        del drawn, model
+        trim_memory()
+
+    found = sample.coalesce(1).mapInArrow(trained, "weights binary, intercepts binary, temperature double, usual double, limit double").collect()
+    if not found:
+        return _train([], languages, idf)
+    weights, intercepts, *numbers = found[0]
+    return LanguageModel(languages, idf, np.frombuffer(weights, np.float32).reshape(SLOTS, -1), np.frombuffer(intercepts, np.float64), *numbers)
+
+
+def _train(drawn: list[tuple], languages: list[str], idf: np.ndarray) -> LanguageModel:
+    """The model from rows of (slots, values, position of the language, n-grams, sum of their weights), in any order."""
+    drawn.sort(key=lambda row: (row[0].tobytes(), row[1].tobytes(), row[2]))
     order = np.random.default_rng(0).permutation(len(drawn))
     held = int(len(drawn) * CALIBRATION_SHARE) if len(drawn) >= 10 * len(languages) else 0
-    position = {lang: i for i, lang in enumerate(languages)}
-    rows_in = [(np.frombuffer(drawn[i]["slots"], np.int32), np.frombuffer(drawn[i]["row"], np.float32).astype(np.float64), position[drawn[i]["label"]]) for i in order]
     model = FTRL(SLOTS, len(languages), alpha=1.0, l1=0.02, l2=0.02)
     for _ in range(EPOCHS):
-        for slots, values, target in rows_in[held:]:
-            model.fit_row(slots, values, target)
+        for slots, values, target, *_ in (drawn[i] for i in order[held:]):
+            model.fit_row(slots, values.astype(np.float64), target)
     weights, intercepts = model.dense()
-    scores = np.array([values @ weights[slots] + intercepts for slots, values, _ in rows_in[:held]]).reshape(held, len(languages))
-    fitted = temperature(scores, np.array([target for *_, target in rows_in[:held]], dtype=np.int64))
-    grams, totals = (np.array([r[c] for r in drawn]) for c in ("n", "total"))
+    scores = np.array([drawn[i][1].astype(np.float64) @ weights[drawn[i][0]] + intercepts for i in order[:held]]).reshape(held, len(languages))
+    fitted = temperature(scores, np.array([drawn[i][2] for i in order[:held]], dtype=np.int64))
+    grams, totals = (np.array([row[c] for row in drawn]) for c in (3, 4))
     usual = float(totals.sum() / max(grams.sum(), 1))
     rarest = float(shrunk(grams, totals, usual).max(initial=usual))
     return LanguageModel(languages, idf, weights.astype(np.float32), intercepts, fitted, usual, rarest + BEYOND * (rarest - usual))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import fresh, quoted, returns_memory, slices, unit_hash
+from flowloom.llm.common import fresh, quoted, returns_memory, slices, trim_memory, unit_hash
 from flowloom.llm.learn import FTRL
 from flowloom.llm.text import normalized, words_of
 
@@ -100,7 +100,8 @@ def fit(
 ) -> ToxicityModel:
     """Learn from `labels` (key, label of 0 or 1), all of which are training rows.
 
-    The fit takes about `toxic` and `clean` rows, drawn by hash of the id; their ids are few enough to broadcast.
+    The fit takes about `toxic` and `clean` rows, drawn by hash of the id; their ids are few enough to broadcast. One task
+    trains on them, and only the model reaches the driver.
     """
     known = (
         labels.filter(F.col(quoted(key)).isNotNull() & F.col(quoted(label)).isin(0, 1))
@@ -116,22 +117,36 @@ def fit(
     drawn = F.broadcast(known.filter(unit_hash("toxicity", F.col("k")) < share).limit(2 * (toxic + clean)))
     rows = docs.select(F.col(quoted(key)).alias("k"), normalized(F.col(quoted(text))).alias("t")).join(drawn, "k").select("y", "t").limit(4 * (toxic + clean))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = [hashes_of_terms(line) for line in identity]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in slices(batches, "t", max_rows=256):
             found, text, sizes = features_of(part.column(1))
             order = np.argsort(text, kind="stable")
             cuts = np.searchsorted(text[order], np.arange(part.num_rows + 1))
-            sets = [np.unique(found[order[a:b]], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes), pa.array([f.tobytes() for f, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in sets], pa.binary())],
-                names=["y", "size", "features", "counts"],
-            )
+            for a, b, size, y in zip(cuts[:-1], cuts[1:], sizes.tolist(), part.column(0).to_pylist(), strict=True):
+                features, n = np.unique(found[order[a:b]], return_counts=True)
+                yield features, n.astype(np.int32), size, y
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the fit depends on the order, so it mustn't depend on that of the tasks
+        model = _train(sorted(counted(batches), key=_place), groups, bad / good)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.features.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercept])],
+            names=["features", "weights", "intercept"],
+        )
+        del model
+        trim_memory()
+
+    found = rows.coalesce(1).mapInArrow(trained, "features binary, weights binary, intercept double").collect()
+    if not found:
+        return _train([], groups, bad / good)
+    return ToxicityModel(np.frombuffer(found[0].features, np.uint64), np.frombuffer(found[0].weights, np.float64).reshape(-1, 2), found[0].intercept)
+
 
-    sample = rows.mapInArrow(counted, "y int, size long, features binary, counts binary").toArrow()
-    examples = [(np.frombuffer(f.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int32), size.as_py(), y.as_py()) for y, size, f, n in zip(*sample.columns, strict=True)]
-    # the fit depends on the order, so it mustn't depend on that of the tasks
-    examples.sort(key=lambda e: (e[2], e[3], int(np.bitwise_xor.reduce(e[0])) if len(e[0]) else 0))
-    return _train(examples, [hashes_of_terms(line) for line in identity], bad / good)
+def _place(example: tuple) -> tuple:
+    found, _, size, y = example
+    return size, y, int(np.bitwise_xor.reduce(found)) if len(found) else 0
 
 
 def _train(examples: list[tuple], groups: list[list[np.ndarray]], odds: float) -> ToxicityModel:
@@ -145,16 +160,15 @@ def _train(examples: list[tuple], groups: list[list[np.ndarray]], odds: float) -
     for found, n, size, y in examples:
         at = np.minimum(np.searchsorted(features, found), len(features) - 1)
         hit = features[at] == found
-        slots = (2 * at[hit][:, None] + np.arange(2)).ravel().astype(np.int32)
         named = [(w, int(n[i])) for term, w in swaps.items() if (i := np.searchsorted(found, np.uint64(term))) < len(found) and int(found[i]) == term]
-        rows.append((slots, values_of(n[hit], np.full(hit.sum(), size)).ravel().astype(np.float32), y, named))
+        rows.append((at[hit].astype(np.int32), n[hit], y, named))
     for _ in range(EPOCHS):
         for i in draw.permutation(len(rows)):
-            slots, values, y, named = rows[i]
-            model.fit_row(slots, values, y)
+            (used, times_used, y, named), (found, n, size, _) = rows[i], examples[i]
+            values = values_of(times_used, np.full(len(used), size)).ravel().astype(np.float32)
+            model.fit_row((2 * used[:, None] + np.arange(2)).ravel(), values, y)
             for ways, times in named:
                 lost, won = ways[draw.integers(len(ways))]
-                found, n, size, _ = examples[i]
                 change = swap_change(found, n, size, times, lost, won)
                 at = np.searchsorted(features, np.concatenate([lost, won]))
                 pair = (2 * at[:, None] + np.arange(2)).ravel()

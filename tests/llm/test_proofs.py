@@ -200,6 +200,19 @@ def test_fewer_false_positives_on_neutral_mentions():
     assert rates[1] < rates[0]
 
 
+def test_fits_leave_only_a_model_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "you vile trash" if i % 2 else "a kind word", "de" if i % 3 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    marks = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    frame, brought = type(docs), []
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): (brought.append(list(self.columns)), f(self))[1])
+    model = toxicity.fit(docs, marks)
+    assert (toxicity.scores_of(pa.array(["you vile trash", "a kind word"]), model) >= 0.5).tolist() == [True, False]
+    assert langid.fit(docs).languages == ["de", "en"]
+    # the rows of the sample, their features and texts stay with the tasks
+    assert not [c for c in brought if {"slots", "row", "counts", "t"} & set(c)] and ["features", "weights", "intercept"] in brought
+
+
 def test_leak_of_an_item_without_id(spark):
     item = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"a b {item} c", 5), (2, "a b c", 6), (1, item, 7), (None, item, 8)], "doc_id long, text string, Items int")

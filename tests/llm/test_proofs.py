@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 
+import corpus_pipeline
 from flowloom.llm import importance, langid, learn, leaks, licenses, mixing, toxicity, urls, warc
 
 SF = "/root/testdata/sf0.001"
@@ -213,6 +214,15 @@ def test_fits_leave_only_a_model_to_the_driver(spark, monkeypatch):
     assert not [c for c in brought if {"slots", "row", "counts", "t"} & set(c)] and ["features", "weights", "intercept"] in brought
 
 
+def test_pipeline_finds_leaks_without_a_sample(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(leaks, "fit_rows", lambda *_: pytest.fail("a sample of the documents"))
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"a b {item} c"), (None, "a b c"), (7, None)], "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "a b c"), (7, None)]
+
+
 def test_leak_of_an_item_without_id(spark):
     item = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"a b {item} c", 5), (2, "a b c", 6), (1, item, 7), (None, item, 8)], "doc_id long, text string, Items int")

@@ -55,11 +55,44 @@ class Corpus:
     n_docs: int
 
 
+@dataclass
+class Lookup:
+    """Sorted distinct hashes, with the largest number behind them, and the place of the first one for each value of their first bits."""
+
+    words: np.ndarray
+    begins: np.ndarray
+    shift: np.uint64
+    steps: int
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> Lookup:
+        bits = min(max(len(words), 1).bit_length() + 4, 22)
+        shift = np.uint64(64 - bits)
+        begins = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+        steps = int(np.diff(begins, append=len(words)).max())
+        return cls(np.append(words, np.uint64(2**64 - 1)), begins, shift, steps)
+
+    def __reduce__(self) -> tuple:
+        # the table of first bits is made again where it is used
+        return Lookup.of, (self.words[:-1],)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the words that are listed, their places in the list)"""
+        at = self.begins[words >> self.shift]
+        for _ in range(self.steps - 1):
+            at += self.words[at] < words
+        hit = np.flatnonzero(self.words[at] == words)
+        place = at[hit]
+        listed = place < len(self.words) - 1
+        return (hit, place) if listed.all() else (hit[listed], place[listed])
+
+
 @dataclass
 class Block:
-    """The items of one SVD: sorted words, a score per word and item, and the least sum of a candidate passage."""
+    """The items of one SVD: places of their words in the lookup, those of each item, a score per word and item, the least sum of a candidate passage."""
 
     words: np.ndarray
+    items: list[np.ndarray]
     scores: np.ndarray
     least: np.ndarray
 
@@ -70,6 +103,7 @@ class Index:
 
     short: dict[int, tuple[np.ndarray, np.ndarray]]
     openings: np.ndarray
+    lookup: Lookup | None
     blocks: list[Block]
     ids: list
     texts: list[np.ndarray]
@@ -83,21 +117,20 @@ def blocks_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[text] + within * STRIDE, text
 
 
-def latent(words: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Sum of the words' vectors over each block."""
-    out = np.zeros((len(starts), vectors.shape[1]), dtype=np.float32)
-    if not len(vocabulary) or not len(words):
-        return out
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    hit = np.flatnonzero(vocabulary[at] == words)
-    if len(hit):
-        owner = np.searchsorted(starts, hit, "right") - 1
+def latent(owner: np.ndarray, at: np.ndarray, n_blocks: int, scores: np.ndarray) -> np.ndarray:
+    """Sum over each block of the scores of its words; `owner` is the block of each word, in order, and `at` its row."""
+    out = np.zeros((n_blocks, scores.shape[1]), dtype=np.float32)
+    if len(at):
         first = np.flatnonzero(np.diff(owner, prepend=-1))
-        turn = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
-        # the first hits of all blocks, then the second ones, and so on: no block occurs twice in a step
-        for i in range(int(turn.max()) + 1):
-            step = np.flatnonzero(turn == i)
-            out[owner[step]] += vectors[at[hit[step]]]
+        sizes = np.diff(np.append(first, len(at)))
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = first[order], sizes[order]
+        # the first words of all blocks, then the second ones, and so on; the blocks with most words stand in front
+        total = scores[at[first]]
+        for i in range(1, int(sizes[0])):
+            n = np.searchsorted(-sizes, -i)
+            total[:n] += scores[at[first[:n] + i]]
+        out[owner[first]] = total
     return out
 
 
@@ -108,7 +141,7 @@ def joined(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     alone = np.ones(len(text), dtype=bool)
     alone[1:] = text[1:] != text[:-1]
     at = np.flatnonzero(follows | alone)
-    total = values[at].copy()
+    total = values[at]
     total[follows[at]] += values[at[follows[at]] + 1]
     return total, at
 
@@ -129,14 +162,13 @@ def corpus_of(docs: DataFrame, vocabulary: np.ndarray, text: str, key: str) -> C
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last entry counts the documents
         frequency, sketch = np.zeros(size + 1, dtype=np.int64), np.zeros((size + 1) * BUCKETS)
+        lookup = Lookup.of(vocabulary)
         for part in slices(batches, "t", max_rows=256):
             frequency[size] += part.num_rows
             words, offsets = words_of(part.column(1))
             if not len(words):
                 continue
-            at = np.minimum(np.searchsorted(vocabulary, words), size - 1)
-            hit = np.flatnonzero(vocabulary[at] == words)
-            slot = at[hit]
+            hit, slot = lookup.hits(words)
             starts, owner = blocks_of(offsets)
             block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))[hit]
             held = np.zeros((part.num_rows, size), dtype=bool)
@@ -148,7 +180,7 @@ def corpus_of(docs: DataFrame, vocabulary: np.ndarray, text: str, key: str) -> C
             weight, bucket = np.zeros(len(starts)), np.zeros(len(starts), dtype=np.int64)
             weight[begins] = np.where(draw >> np.uint64(63), 1.0, -1.0) / np.sqrt(np.maximum(total, 1))
             bucket[begins] = (draw % np.uint64(BUCKETS)).astype(np.int64)
-            row = slot * BUCKETS
+            row = slot.astype(np.int64) * BUCKETS
             np.add.at(sketch, row + bucket[block], weight[block])
             # a block is also the second one of the passage that begins before it
             second = np.flatnonzero((block > 0) & (owner[block - 1] == owner[block]))
@@ -210,7 +242,7 @@ def build(texts: list[np.ndarray], corpus: Corpus) -> Block:
     # what the basis has kept of an item is what its copies can reach
     kept = np.array([scores[at, i].sum() for i, at in enumerate(places)])
     sizes = np.array([len(t) for t in texts])
-    return Block(vocabulary, scores, (HELD * kept * reach(sizes) / sizes).astype(np.float32))
+    return Block(own, [own[at] for at in places], scores, (HELD * kept * reach(sizes) / sizes).astype(np.float32))
 
 
 def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
@@ -275,6 +307,28 @@ def whole_matches(words: np.ndarray, offsets: np.ndarray, index: Index, found: l
             found[t].update((i, 1.0) for i in items[a:b].tolist())
 
 
+def holding(slots: np.ndarray, near: np.ndarray, item: np.ndarray, own: list[np.ndarray], n_words: int) -> np.ndarray:
+    """Which candidates have so many of their item's words in their range of words, wherever, that a common subsequence can be long enough.
+
+    `slots` has the place in the lookup of each word of the slice (`n_words` for others), `near` the ranges, `own` the places of each item's words.
+    """
+    enough = np.zeros(len(item), dtype=bool)
+    # a table of words per candidate and the words of all ranges stay small
+    step = max(min((4 << 20) // (n_words + 1), (1 << 20) // max(int((near[:, 1] - near[:, 0]).max()), 1)), 1)
+    for low in range(0, len(item), step):
+        begin, end = near[low : low + step].T
+        sizes = end - begin
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+        present = np.zeros((len(sizes), n_words + 1), dtype=bool)
+        present[row, slots[at]] = True
+        words = [own[i] for i in item[low : low + step].tolist()]
+        lengths = np.array([len(w) for w in words])
+        held = present[np.repeat(np.arange(len(words)), lengths), np.concatenate(words)]
+        enough[low : low + step] = np.add.reduceat(held, np.cumsum(lengths) - lengths, dtype=np.int64) >= PARAPHRASE * lengths
+    return enough
+
+
 def matches(column: pa.Array, index: Index) -> list[dict[int, float]]:
     """For each text, the positions of the items found in it and the shares of their words."""
     found: list[dict[int, float]] = [{} for _ in range(len(column))]
@@ -282,25 +336,36 @@ def matches(column: pa.Array, index: Index) -> list[dict[int, float]]:
     if not len(words):
         return found
     whole_matches(words, offsets, index, found)
+    if not index.blocks:
+        return found
     starts, text = blocks_of(offsets)
-    listed, lists = words.tolist(), [t.tolist() for t in index.texts]
+    hit, place = index.lookup.hits(words)
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))[hit]
+    n_words = len(index.lookup.words) - 1
+    slots = np.full(len(words), n_words, dtype=np.int32)
+    slots[hit] = place
     # the short items come first
     first = sum(len(items) for _, items in index.short.values())
     for block in index.blocks:
-        sums, at = joined(latent(words, starts, block.words, block.scores), text)
-        for p, i in zip(*np.nonzero(sums >= block.least), strict=True):
-            begin, i = at[p], first + i
-            t, item = text[begin], index.texts[i]
-            if found[t].get(i, 0.0) == 1.0:
-                continue
-            near = slice(max(offsets[t], starts[begin] - len(item)), min(offsets[t + 1], starts[begin] + 2 * STRIDE + len(item)))
+        rows = np.full(n_words, -1, dtype=np.int32)
+        rows[block.words] = np.arange(len(block.words))
+        row = rows[place]
+        known = np.flatnonzero(row >= 0)
+        sums, at = joined(latent(owner[known], row[known], len(starts), block.scores), text)
+        p, item = np.divmod(np.flatnonzero(sums >= block.least), len(block.least))
+        if len(p):
+            begin = at[p]
+            lengths = np.array([len(t) for t in block.items])[item]
+            low = np.maximum(offsets[text[begin]], starts[begin] - lengths)
+            high = np.minimum(offsets[text[begin] + 1], starts[begin] + 2 * STRIDE + lengths)
             # no subsequence is longer than the number of the item's words that occur at all
-            present = set(listed[near])
-            if sum(w in present for w in lists[i]) < PARAPHRASE * len(item):
-                continue
-            leak, share = is_leak(item, words[near])
-            if leak:
-                found[t][i] = max(share, found[t].get(i, 0.0))
+            likely = np.flatnonzero(holding(slots, np.stack([low, high], axis=1), item, block.items, n_words))
+            for t, i, a, b in zip(text[begin[likely]].tolist(), (first + item[likely]).tolist(), low[likely].tolist(), high[likely].tolist(), strict=True):
+                if found[t].get(i, 0.0) == 1.0:
+                    continue
+                leak, share = is_leak(index.texts[i], words[a:b])
+                if leak:
+                    found[t][i] = max(share, found[t].get(i, 0.0))
         first += len(block.least)
     return found
 
@@ -318,7 +383,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item: st
         parts = [slice(part[0], part[-1] + 1) for part in np.array_split(long, -(-len(long) // FIT_ITEMS) or 1) if len(part)]
         corpus = corpus_of(docs, np.unique(np.concatenate([texts[i] for i in long])), text, key) if parts else None
         if own:
-            yield Index(*short_items(texts), [build(texts[p], corpus) for p in parts], [i for i, _ in own], texts)
+            lookup = Lookup.of(corpus.words) if corpus else None
+            yield Index(*short_items(texts), lookup, [build(texts[p], corpus) for p in parts], [i for i, _ in own], texts)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:

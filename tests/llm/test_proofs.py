@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -223,6 +224,44 @@ def test_pipeline_finds_leaks_without_a_sample(spark, monkeypatch, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "a b c"), (7, None)]
 
 
+def test_words_are_looked_up_once_for_all_blocks(monkeypatch):
+    draw = np.random.default_rng(8)
+    words = np.unique(draw.integers(0, 2**64, 5000, dtype=np.uint64))
+    edge = np.array([0, 2**64 - 1], dtype=np.uint64)
+    seen = np.concatenate([draw.choice(words, 3000), draw.integers(0, 2**64, 3000, dtype=np.uint64), words[:3] + np.uint64(1), edge])
+    for listed in (words, words[:1], words[:0], np.union1d(words, edge), words >> np.uint64(40)):
+        hit, place = pickle.loads(pickle.dumps(leaks.Lookup.of(np.unique(listed)))).hits(seen)
+        assert (hit == np.flatnonzero(np.isin(seen, listed))).all() and (np.unique(listed)[place] == seen[hit]).all()
+    texts = [" ".join(f"v{x}" for x in draw.integers(0, 900, n)) for n in draw.integers(15, 40, 3 * leaks.FIT_ITEMS)]
+    items = [leaks.words_of(pa.array([t]))[0] for t in texts]
+    vocabulary = np.unique(np.concatenate(items))
+    corpus = leaks.Corpus(vocabulary, np.ones(len(vocabulary), dtype=np.int64), np.zeros((len(vocabulary), leaks.BUCKETS)), 9)
+    blocks = [leaks.build(items[i : i + leaks.FIT_ITEMS], corpus) for i in range(0, len(items), leaks.FIT_ITEMS)]
+    index = leaks.Index(*leaks.short_items(items), leaks.Lookup.of(vocabulary), blocks, list(range(len(items))), items)
+    calls, hits = [], leaks.Lookup.hits
+    monkeypatch.setattr(leaks.Lookup, "hits", lambda self, w: calls.append(len(w)) or hits(self, w))
+    found = leaks.matches(pa.array([*texts, None, "", "other words"]), index)
+    assert [f.get(i) for i, f in enumerate(found[:-3])] == [1.0] * len(texts) and found[-3:] == [{}] * 3
+    assert calls == [sum(len(i) for i in items) + 2]
+
+
+def test_block_sums_and_words_near_a_candidate():
+    draw = np.random.default_rng(9)
+    owner, scores = np.sort(draw.integers(0, 300, 2000)), draw.standard_normal((50, 7)).astype(np.float32)
+    at = draw.integers(0, 50, 2000)
+    expected = np.zeros((310, 7), dtype=np.float32)
+    np.add.at(expected, owner, scores[at])
+    assert (leaks.latent(owner, at, 310, scores) == expected).all() and not leaks.latent(owner[:0], at[:0], 310, scores).any()
+    slots = draw.integers(0, 51, 4000).astype(np.int32)
+    own = [draw.integers(0, 50, n) for n in draw.integers(8, 30, 20)]
+    begin, item = draw.integers(0, 3900, 500), draw.integers(0, 20, 500)
+    near = np.stack([begin, begin + draw.integers(1, 90, 500)], axis=1)
+    brute = [2 * np.isin(own[i], slots[a:b]).sum() >= len(own[i]) for i, (a, b) in zip(item, near, strict=True)]
+    assert leaks.holding(slots, near, item, own, 50).tolist() == brute and 0 < sum(brute) < 500
+    # many words or long ranges: a few candidates at a time
+    assert (leaks.holding(slots, near, item, own, 1 << 20) == brute).all()
+
+
 def test_leak_of_an_item_without_id(spark):
     item = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"a b {item} c", 5), (2, "a b c", 6), (1, item, 7), (None, item, 8)], "doc_id long, text string, Items int")
